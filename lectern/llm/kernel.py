@@ -105,8 +105,11 @@ def shingles(h: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndar
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
         first = np.searchsorted(row, short)
-        ext = [int(mix(np.array([sum((int(h[f + j]) * int(_PLACE[8 + j])) & (2**64 - 1) for j in range(c)) & (2**64 - 1)], np.uint64) + _U(0x5851F42D4C957F2D * (k - c) & (2**64 - 1)))[0]) for f, c in zip(first, count[short], strict=True)]
-        s, r = np.concatenate([s, np.array(ext, np.uint64)]), np.concatenate([r, short])
+        total = np.zeros(len(short), np.uint64)
+        for j in range(k - 1):
+            more = count[short] > j
+            total[more] += h[first[more] + j] * _PLACE[8 + j]
+        s, r = np.concatenate([s, mix(total + _PLACE[40 + count[short]])]), np.concatenate([r, short])
         order = np.argsort(r, kind="stable")
         s, r = s[order], r[order]
     return s, r

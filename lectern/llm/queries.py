@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing
+from . import exact_dedup, ngram_join, packing
 from .shared import table
 
 
@@ -16,7 +16,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_exact_dedup)}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, p=85, q=100)
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op5_exact_dedup, op8_ngram_join)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
