@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, packing
+from . import exact_dedup, ngram_join, packing, pii, quality, toxicity
 from .shared import table
 
 
@@ -20,7 +20,19 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=4, p=85, q=100)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_exact_dedup, op8_ngram_join)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op4_toxicity, op5_exact_dedup, op7_quality, op8_ngram_join, op10_pii)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
