@@ -8,19 +8,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, packing
+from lectern.llm import exact_dedup, ngram_join, packing, pii, quality
 from lectern.llm.shared import cut, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.representatives(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.sanitised(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact_copies), ("packing", packed)]
+STAGES = [("quality classifier", good), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("PII", private), ("packing", packed)]
 
 #: SQL expresses neither the trained scorer nor the tokenizer; the tests hold run() against plain Python.
 ORACLE_SQL = None
