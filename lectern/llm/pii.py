@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom as filters
 from .kernel import LOWER, signed, slices, words
 from .shared import keep
 
@@ -33,8 +34,6 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 #: Bytes that part words here: ASCII without letters and digits.
 PARTS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
-#: log2 of the bits of the Bloom filter (1 MB), and probes.
-BLOOM_BITS, PROBES = 23, 4
 
 
 def _luhn(digits: str) -> bool:
@@ -122,34 +121,6 @@ def _scan(docs: DataFrame, near: int, least: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scanned, _FOUND)
 
 
-def _probes(h: np.ndarray) -> list[np.ndarray]:
-    x = h.view(np.uint64)
-    return [((x >> np.uint64(8 * i)) ^ (x >> np.uint64(41))) & np.uint64((1 << BLOOM_BITS) - 1) for i in range(PROBES)]
-
-
-def _bloom(hashes: DataFrame) -> np.ndarray:
-    """The filter of a column ``hash``: at most 2**BLOOM_BITS bits, merged on the executors, so 1 MB at any input size."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.unique(np.concatenate(_probes(b["hash"].to_numpy()))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(p >> 6), pa.array(np.left_shift(np.int64(1), p & 63))], names=["word", "bit"])
-
-    rows = hashes.select("hash").mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for r in rows:
-        out[r["word"]] = r["bits"]
-    return out
-
-
-def _in(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(h), bool)
-    for p in _probes(h):
-        p = p.astype(np.int64)
-        ok &= (bloom[p >> 6] >> (p & 63)) & 1 == 1
-    return ok
-
-
 def _occurrences(docs: DataFrame, bloom: np.ndarray, count: bool) -> DataFrame:
     """Of the words that the filter lets pass: (hash, n) with n documents of a batch if ``count``, else (doc_id, hash,
     term, start, end) of each, in code points."""
@@ -164,7 +135,7 @@ def _occurrences(docs: DataFrame, bloom: np.ndarray, count: bool) -> DataFrame:
             for low, high, raw, at in slices(b["text"]):
                 h, start, end, row = words(raw, at, space=PARTS)
                 h = signed(h)
-                m = _in(bits, h)
+                m = filters.within(bits, h)
                 h, start, end, row = h[m], start[m], end[m], row[m]
                 if count:
                     pair = np.unique(np.rec.fromarrays([h, row])) if len(h) else np.rec.fromarrays([h, row])
@@ -188,7 +159,7 @@ def disclosing(docs: DataFrame, found: DataFrame, bits: float = 4.0, share: floa
     wide = each.groupBy("term", "hash", "entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= contexts)
     both = keep(near.select("doc_id", "term", "hash", "entity").distinct().join(wide, ["term", "hash", "entity"]).groupBy("term", "hash", "entity").agg(F.count("*").alias("n_both")))
     n_entity = near.select("doc_id", "entity").distinct().join(both.select("entity").distinct(), "entity").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n_term = _occurrences(docs, _bloom(both.select("hash").distinct()), True).groupBy("hash").agg(F.sum("n").alias("n_term"))
+    n_term = _occurrences(docs, filters.build(both.select("hash").distinct()), True).groupBy("hash").agg(F.sum("n").alias("n_term"))
     total = docs.count()
     told = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     return keep(both.join(n_entity, "entity").join(n_term, "hash").where((told >= bits) & (F.col("n_both") >= share * F.col("n_term"))).select("term", "hash").distinct())
@@ -201,7 +172,7 @@ def spans(docs: DataFrame, near: int = 5, least: int = 4, bits: float = 4.0, sha
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = keep(_scan(docs, near, least))
     terms = disclosing(docs, found, bits, share, contexts)
-    more = _occurrences(docs, _bloom(terms.select("hash")), False).join(terms, ["term", "hash"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))
+    more = _occurrences(docs, filters.build(terms), False).join(terms, ["term", "hash"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))
     every = F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast(_SPAN))))
     return found.join(more, "doc_id", "left").select("doc_id", F.col("spans").alias("base"), every.alias("spans"))
 

@@ -22,16 +22,19 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Writes ``df`` to the cluster's shared checkpoint folder and reads it from there, so that lost executors cost nothing.
+def cut(df: DataFrame, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+    """Writes ``df`` to the cluster's shared checkpoint folder and reads it from there, so that lost executors cost nothing
+    and the shuffles behind it can go. The rows are gathered into files of about ``rows_a_file``, however many tasks made them.
 
     The folder is the session's ``spark.checkpoint.dir``; only where a session has none (tests) a temporary one is set.
-    rows: about as many as df has; then ROWS_A_FILE of them go to a file.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
-    return (df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)).checkpoint()
+    held = keep(df)
+    out = held.coalesce(1 + held.count() // rows_a_file).checkpoint()
+    held.unpersist()
+    return out
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -46,9 +49,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     execution can split, so a hub with a third of all nodes is no single task. Edges never come to the driver, only a
     count and a checksum of each round. Self-links and repeated links are allowed; no links give no rows.
     """
-    rows = edges.count()
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e = cut(e, rows)
+    e = cut(e)
     last = _state(e)
     for _ in range(rounds):
         if not last[0]:
@@ -58,7 +60,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = cut(small, last[0])
+        e = cut(small)
         now = _state(e)
         if now == last:
             break
