@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, ngram_join, packing, pii, quality, substring_dedup, token_counts, toxicity
+from . import ann, exact_dedup, lattice, ngram_join, packing, pii, quality, substring_dedup, token_counts, toxicity
 from .shared import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.encode(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_ann, op4_toxicity, op5_exact_dedup, op6_substring_dedup, op7_quality, op8_ngram_join, op9_token_counts, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_packing, op3_ann, op4_toxicity, op5_exact_dedup, op6_substring_dedup, op7_quality, op8_ngram_join, op9_token_counts, op10_pii)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
