@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import mix, shingle_sets, signed
-from .shared import components, cut
+from .shared import components, cut, keep
 
 _U = np.uint64
 #: The share of a band's sets that may have more small segments than allowed for.
 RARE = 1e-4
 #: Pairs checked against one copy of a pivot's text; members of one tile; bits of a parity sketch.
 SALT_ROWS, TILE, SKETCH_BITS = 256, 1024, 1024
+#: Candidates' texts to a file.
+TEXTS_A_FILE = 4000
 #: Classes that a task remembers to have indexed, and rows to an output batch.
 SEEN, BATCH = 1 << 20, 1 << 17
 
@@ -284,12 +286,12 @@ def join(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     taken to be a key; extra columns are ignored; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = cut(sets(docs, k))
+    own = keep(sets(docs, k))
     stars = cut(_index(docs, k, p, q).repartition("sig").sortWithinPartitions("sig", "member").mapInArrow(_stars, "sig long, a long, b long").distinct())
     pairs = stars.select("a", "b").distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     heads = own.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class")
-    texts = cut(docs.join(heads, "doc_id").select("class", "text"))
+    texts = cut(docs.join(heads, "doc_id").select("class", "text"), TEXTS_A_FILE)
     links = cut(verify(pairs, texts, k, p, q))
     belongs = components(links)
     more = cut(verify(_rest(stars.where("sig is not null"), belongs, texts, k, p, q), texts, k, p, q))
