@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import keep
 
 #: The polynomial's two moduli and bases, and bytes to a chunk.
 PRIMES = (2147483629, 2147483587)
@@ -129,7 +129,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     of two or more are shuffled for the comparison, salted so that no task gets more than SALT_ROWS of a group's rows
     with one copy of its head.
     """
-    digests = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests, _DIGEST))
+    digests = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests, _DIGEST))
     groups = digests.groupBy("fp", "bytes").agg(F.count("*").alias("size"), F.min("doc_id").alias("head_id")).where("size > 1")
     members = digests.select("doc_id", "fp", "bytes").join(groups, ["fp", "bytes"])
     salts = F.ceil(F.col("size") / SALT_ROWS)
