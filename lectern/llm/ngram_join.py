@@ -32,6 +32,8 @@ _U = np.uint64
 RARE = 1e-4
 #: Pairs checked against one copy of a pivot's text; members of one tile; bits of a parity sketch.
 SALT_ROWS, TILE, SKETCH_BITS = 256, 1024, 1024
+#: Nearest members by sketch that are compared in each round.
+NEAREST = (2, 32, TILE)
 #: Candidates' texts to a file.
 TEXTS_A_FILE = 4000
 #: Classes that a task remembers to have indexed, and rows to an output batch.
@@ -245,12 +247,18 @@ def _sketches(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(sketched, "class long, n long, sketch binary")
 
 
-def _rest(stars: DataFrame, belongs: DataFrame, texts: DataFrame, k: int, p: int, q: int) -> DataFrame:
-    """(a, b): pairs of one bucket in different components that sizes and sketches leave possible."""
+def _rest(stars: DataFrame, belongs: DataFrame, sketches: DataFrame, p: int, q: int, most: int) -> DataFrame:
+    """(a, b): pairs of one bucket in different components that sizes and sketches leave possible; of each member at most
+    the ``most`` nearest by sketch in each tile.
+
+    Buckets with the same members are one. ``most`` = TILE leaves out nothing.
+    """
     members = stars.select("sig", F.col("b").alias("class")).unionByName(stars.select("sig", F.col("a").alias("class"))).distinct()
     named = members.join(belongs.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = named.groupBy("sig").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig", "tiles")
-    tiled = named.join(mixed, "sig").join(_sketches(texts, k), "class").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")))
+    hashed = F.xxhash64("class")
+    mixed = named.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.shiftright(hashed, 8)).alias("h"), F.bit_xor(hashed).alias("x")).where("low < high")
+    mixed = mixed.groupBy("n", "h", "x").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / TILE).alias("tiles"))
+    tiled = named.join(mixed, "sig").join(sketches, "class").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")))
     both = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
         "sig", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") <= F.col("other")).alias("left"), (F.col("tile") == F.col("other")).alias("own"), "class", "component", "n", "sketch"
     )
@@ -261,18 +269,21 @@ def _rest(stars: DataFrame, belongs: DataFrame, texts: DataFrame, k: int, p: int
         cls, comp, n = (group[c].to_numpy() for c in ("class", "component", "n"))
         bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(cls), -1)
         i, j = (np.arange(len(cls)),) * 2 if own else (np.flatnonzero(left), np.flatnonzero(~left))
-        a, b = [], []
-        main = np.unique(comp, return_counts=True)
-        main = main[0][np.argmax(main[1])]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        names, sizes = np.unique(comp, return_counts=True)
+        main = names[np.argmax(sizes)]
         # what is outside the largest component against all; within it nothing is left to learn
         for r, c in ((i[comp[i] != main], j), (j[comp[j] != main], i[comp[i] == main])) if not own else ((i[comp[i] != main], j),):
             for x in r:
-                far = np.bitwise_count(bits[c] ^ bits[x]).sum(1)
-                hit = c[(far * (p + q) <= (q - p) * (n[c] + n[x])) & (comp[c] != comp[x]) & (np.minimum(n[c], n[x]) * q >= p * np.maximum(n[c], n[x]))]
-                a.append(np.minimum(cls[hit], cls[x]))
-                b.append(np.maximum(cls[hit], cls[x]))
-        e = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or e), "b": np.concatenate(b or e)})
+                o = c[(comp[c] != comp[x]) & (np.minimum(n[c], n[x]) * q >= p * np.maximum(n[c], n[x]))]
+                far = np.bitwise_count(bits[o] ^ bits[x]).sum(1)
+                ok = far * (p + q) <= (q - p) * (n[o] + n[x])
+                o, far = o[ok], far[ok]
+                if len(o) > most:
+                    o = o[np.argsort(far, kind="stable")[:most]]
+                a.append(np.minimum(cls[o], cls[x]))
+                b.append(np.maximum(cls[o], cls[x]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return both.groupBy("sig", "t0", "t1").applyInArrow(compared, "a long, b long").distinct()
 
@@ -294,9 +305,14 @@ def join(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     texts = cut(docs.join(heads, "doc_id").select("class", "text"), TEXTS_A_FILE)
     links = cut(verify(pairs, texts, k, p, q))
     belongs = components(links)
-    more = cut(verify(_rest(stars.where("sig is not null"), belongs, texts, k, p, q), texts, k, p, q))
-    if not more.isEmpty():
-        belongs = components(links.unionByName(more))
+    sketches = keep(_sketches(texts, k))
+    # the nearest first: what they link needs no further comparison; the last round leaves out nothing
+    for most in NEAREST:
+        rest = cut(_rest(stars.where("sig is not null"), belongs, sketches, p, q, most))
+        if rest.isEmpty():
+            break
+        links = cut(links.unionByName(verify(rest, texts, k, p, q)))
+        belongs = components(links)
     named = own.where("n > 0").join(belongs.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named.join(first, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
