@@ -31,7 +31,7 @@ from .tokenizer import public
 
 MARK = "▁"
 #: Units in the broadcast dictionary; units over this length are folded on the spot; units a task remembers beside the dictionary.
-FREQUENT, UNIT, REMEMBERED = 50_000, 24, 200_000
+FREQUENT, UNIT, REMEMBERED = 50_000, 24, 400_000
 #: No piece has a mark after another character, so no merge crosses these units; a line feed is no piece.
 _UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 _NATIVE_UNITS = f"\\n|{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+"
@@ -135,19 +135,64 @@ def _ids(unit: str, cuts: list[int], path: str) -> bytes:
     return np.array(out, np.int32).tobytes()
 
 
+class _Spelling(dict):
+    """Piece -> bytes of its ids; a string that is no piece, which is one character, is spelt in bytes."""
+
+    def __init__(self, path: str):
+        super().__init__({p: np.int32(i).tobytes() for p, (i, _) in pieces(path).items()})
+        self.raw = _bytes(path)
+
+    def __missing__(self, piece: str) -> bytes:
+        return np.array([self.raw[x] for x in piece.encode("utf-8", "replace")], np.int32).tobytes()
+
+
 class _Known(dict):
-    """Unit -> bytes of its int32 ids; units beyond the dictionary are folded when first met."""
+    """Unit -> bytes of its int32 ids; units beyond the dictionary are folded when first met and remembered for a while."""
 
-    def __init__(self, items, path: str):
+    def __init__(self, items: dict[str, bytes], path: str):
         super().__init__(items)
-        self.path, self.most = path, len(self) + REMEMBERED
+        self.items_, self.path, self.most = items, path, len(items) + REMEMBERED
+        self.spelling = _Spelling(path)
+        self.cost = {p: -score for p, (_, score) in pieces(path).items()}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = _ids(unit, fold(unit, pieces(self.path)), self.path)
-        if len(self) < self.most and len(unit) <= 4 * UNIT:
-            self[unit] = ids
+        if len(unit) > 4 * UNIT:
+            return _ids(unit, fold(unit, pieces(self.path)), self.path)
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.items_)
+        ids = self[unit] = b"".join(map(self.spelling.__getitem__, self.joined(unit)))
         return ids
 
+    def joined(self, unit: str) -> list[str]:
+        """The pieces of ``fold``, for a short unit: the costs of joining neighbours are a list, of which the least goes first."""
+        parts, get, never = list(unit), self.cost.get, float("inf")
+        costs = [get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs:
+            least = min(costs)
+            if least == never:
+                break
+            i = costs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = get(parts[i - 1] + parts[i], never)
+            if i < len(costs):
+                costs[i] = get(parts[i] + parts[i + 1], never)
+        return parts
+
+
+_known: dict = {}
+
+
+def _worker(send, path: str) -> _Known:
+    """The dictionary of this Python worker, kept over the tasks it is given."""
+    key = (id(send.value), path)  # a worker holds a broadcast value once, and _Known keeps it alive
+    if key not in _known:
+        _known.clear()
+        _known[key] = _Known(send.value, path)
+    return _known[key]
+
 
 def normal(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
@@ -176,8 +221,7 @@ def encode(docs: DataFrame, path: str | None = None, count: int = FREQUENT) -> D
     send = docs.sparkSession.sparkContext.broadcast(dictionary(docs, path, count))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(send.value, path)
-        get = known.__getitem__
+        get = _worker(send, path).__getitem__
         for big in batches:
             for low in range(0, big.num_rows, 500):
                 b = big.slice(low, 500)
