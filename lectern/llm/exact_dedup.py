@@ -104,26 +104,32 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come as groups: one text of a salt of a group first (head), then the others. Says which equal it, chunk by chunk."""
+    """Rows come as groups: one text of a salt of a group first (head), then the others. Says which equal it, chunk by chunk.
+
+    A text that hasn't its row's fingerprint is another row's, of the same doc_id, and is passed over.
+    """
     key, head = None, b""
     for b in batches:
-        ids, same = [], []
+        out: list[tuple] = []
         for k0, k1, salt, first, doc, raw in zip(b["fp"].to_pylist(), b["bytes"].to_pylist(), b["salt"].to_pylist(), b["head"].to_pylist(), b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
             flat = memoryview((raw or b"").translate(None, SPACES))
+            if len(flat) != k1 or (h := fingerprint(flat))[0] * 2**31 + h[1] != k0:
+                continue
             if first and key != (k0, k1, salt):
                 key, head = (k0, k1, salt), flat
             else:
-                ids.append(doc)
-                same.append(len(flat) == len(head) and all(flat[i : i + CHUNK] == head[i : i + CHUNK] for i in range(0, len(flat), CHUNK)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "same"])
+                out.append((doc, k0, k1, all(flat[i : i + CHUNK] == head[i : i + CHUNK] for i in range(0, len(flat), CHUNK))))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.bool_())], names=["doc_id", "fp", "bytes", "same"])
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space ([\\x20\\x09-\\x0D]); a null text is empty, and empty texts are
-    equal. The row with the most code points, then the smallest doc_id stays. doc_id is taken to be a key; other columns
-    are ignored. No rows give no rows.
+    equal. The row with the most code points, then the smallest doc_id stays. Rows that repeat a doc_id share its
+    fate within a group, and a null doc_id stays only where no other of its group can. Other columns are ignored. No
+    rows give no rows.
 
     The text itself is read twice and never sorted as a whole: the first pass leaves 100 bytes a row; only texts in groups
     of two or more are shuffled for the comparison, salted so that no task gets more than SALT_ROWS of a group's rows
@@ -139,12 +145,12 @@ def duplicates(docs: DataFrame) -> DataFrame:
     # texts of the groups only, dealt by group and salt; the head of a salt sorts first
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, "doc_id")
     dealt = texts.repartition("fp", "bytes", "salt").sortWithinPartitions("fp", "bytes", "salt", F.desc("head"))
-    same = dealt.select("fp", "bytes", "salt", "head", "doc_id", "text").mapInArrow(_compared, "doc_id long, same boolean")
-    off = same.where("not same").select("doc_id", F.lit(True).alias("off"))
-    keyed = digests.join(off, "doc_id", "left").withColumn("part", F.when(F.col("off"), F.col("text_sha256")).otherwise(F.lit("")))
+    same = dealt.select("fp", "bytes", "salt", "head", "doc_id", "text").mapInArrow(_compared, "doc_id long, fp long, bytes long, same boolean")
+    off = same.where("not same").select("doc_id", "fp", "bytes").distinct().withColumn("off", F.lit(True))
+    keyed = digests.join(off, ["doc_id", "fp", "bytes"], "left").withColumn("part", F.when(F.col("off"), F.col("text_sha256")).otherwise(F.lit("")))
     best = F.max_by("doc_id", F.struct("points", -F.col("doc_id")))
     kept = keyed.groupBy("fp", "bytes", "part").agg(F.count("*").alias("group_size"), best.alias("keep_id"))
-    return keyed.join(kept, ["fp", "bytes", "part"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return keyed.join(kept, ["fp", "bytes", "part"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def kept(docs: DataFrame) -> DataFrame:

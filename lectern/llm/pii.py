@@ -173,7 +173,7 @@ def spans(docs: DataFrame, near: int = 5, least: int = 4, bits: float = 4.0, sha
     found = keep(_scan(docs, near, least))
     terms = disclosing(docs, found, bits, share, contexts)
     more = _occurrences(docs, filters.build(terms), False).join(terms, ["term", "hash"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))
-    every = F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast(_SPAN))))
+    every = F.array_sort(F.concat("spans", F.array_distinct(F.coalesce("terms", F.array().cast(_SPAN)))))
     return found.join(more, "doc_id", "left").select("doc_id", F.col("spans").alias("base"), every.alias("spans"))
 
 
@@ -193,8 +193,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of text replaced by its kind, as [EMAIL]; overlapping spans by the first one's. n_chars,
-    if there is one, is counted anew where the text has changed; other columns, and texts without spans, are unchanged."""
-    s = spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    if there is one, is counted anew where the text has changed; other columns, and texts without spans, are unchanged.
+    A row is known by its doc_id and text together, so null and repeated doc_ids make no difference."""
+    row = F.xxhash64("doc_id", "text")
+    s = spans(docs.select(row.alias("doc_id"), "text")).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
 
     @F.pandas_udf("string")
     def masked(text, spans):
@@ -213,7 +215,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
             out.append("".join(parts) + t[low:])
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(s, F.col("doc_id").cast("long") == F.col("_id"), "left")
+    joined = docs.withColumn("_row", row).join(s, F.col("_row") == F.col("_id"), "left")
     new = {"text": F.when(F.col("_id").isNotNull(), masked("text", "_spans")).otherwise(F.col("text"))}
     out = joined.withColumns(new)
     if "n_chars" in docs.columns:

@@ -56,6 +56,8 @@ def test_report(spark):
     clean = {r.doc_id: r for r in pii.sanitised(frame(spark, rows)).collect()}
     assert clean[20].text == "mail [EMAIL] or [IP] now" and clean[1].text is None and clean[6].text == "a b c" and clean[20].score == 0.5
     assert pii.sanitised(frame(spark, rows)).columns == frame(spark, rows).columns
+    odd = frame(spark, [(None, "q a@b.cd"), (None, "x 10.0.0.1"), (5, "a@b.cd"), (5, "a@b.cd"), (5, "so 10.0.0.1")])
+    assert sorted(r.text for r in pii.sanitised(odd).collect()) == ["[EMAIL]", "[EMAIL]", "q [EMAIL]", "so [IP]", "x [IP]"]
 
 
 def test_disclosing_terms(spark):
