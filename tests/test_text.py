@@ -9,7 +9,7 @@ def one(spark, value, column):
 
 
 def test_furniture(spark):
-    page = "12\n\nMOCK TEST PAPER - 2\nkeep me\nx\n7\ny\nz\nOswaal Books\n8 |\n|  73\nAnswers\nend\n 13 "
+    page = "12\n\nMOCK TEST PAPER - 2\nkeep me\nx\n7\ny\nz\nSTAFF SELECTION COMMISSION\n8 |\n|  73\nAnswers\nend\n 13 "
     assert one(spark, page, text.strip_furniture("t")) == "\nkeep me\nx\n7\ny\nz\nend"
     assert one(spark, None, text.strip_furniture("t")) is None
     assert one(spark, "", text.strip_furniture("t")) == ""
