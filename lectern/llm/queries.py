@@ -63,5 +63,19 @@ select doc_id,
        doc_id = first_value(doc_id) over (partition by text_sha256 order by points desc, doc_id) kept,
        text_sha256
 from n
+""",
+    "op8_ngram_join": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents
+),
+s as (
+  select distinct doc_id, unnest(case when len(ws) >= 4 then list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) g from w
+),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 85 * (a.n + b.n - i)),
+l as (select x, y from e union all select y, x from e),
+r as (select doc_id a, doc_id b from documents union select r.a, l.y from r join l on r.b = l.x)
+select a doc_id, coalesce(n.n, 0) n_shingles, min(b) component_id from r left join n on n.doc_id = a group by a, n.n
 """,
 }
