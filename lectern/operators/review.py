@@ -109,6 +109,17 @@ def latest_images(images: DataFrame, key: list[str]) -> DataFrame:
     return images.withColumn("_n", F.row_number().over(w)).where("_n = 1 and status <> 'cleared'").drop("_n")
 
 
+def confirmed(candidates: DataFrame, seq: int) -> DataFrame:
+    """Accepted candidates with what the upload gave, as image rows: failed without a URL; an ambiguous destination isn't
+    one. They come after all images up to ``seq``."""
+    rows = candidates.where(F.col("destination").isin(*DESTINATIONS))
+    return rows.withColumn("status", F.when(F.coalesce("image_url", F.lit("")) != "", "uploaded").otherwise("failed")).withColumn("image_seq", F.lit(seq) + F.monotonically_increasing_id())
+
+
+def on_page(questions: DataFrame, page: int) -> DataFrame:
+    return questions.where(F.col("source_page") == page)
+
+
 def image_columns(images: DataFrame, key: list[str]) -> DataFrame:
     """key, number and a URL column for each of DESTINATIONS: of uploaded images with a URL."""
     good = images.where("status = 'uploaded' and coalesce(image_url, '') <> ''")

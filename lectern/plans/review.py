@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import marks
 from ..functions.text import content_type, optional_number
@@ -93,6 +98,20 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "sequence_number", *(F.col(f"`{h}`").alias(h.lower().replace(" ", "_")) for h in export.HEADER))
 
 
+def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workbooks of every tenth order's paper: their names, and the rows that are found in the files again."""
+    q = item_questions(spark, sf_dir).where("doc_id % 10 = 0")
+    schemes = q.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", marks.build_scheme(F.col("n"), F.lit(12), F.lit(None).cast("double")).alias("scheme"))
+    t = export.table(q, ops.image_columns(ops.latest_images(event_images(spark, sf_dir), KEY), KEY), schemes, KEY)
+    files = export.workbooks(t, KEY, export.file_name(F.concat(F.lit("exam"), F.col("doc_id")), F.when(F.col("doc_id") % 20 == 0, F.lit("Paper 1"))))
+
+    @F.pandas_udf(IntegerType())
+    def rows(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: zipfile.ZipFile(io.BytesIO(c)).read("xl/worksheets/sheet1.xml").count(b"<row>") - 1)
+
+    return files.select("doc_id", "file_name", rows("content").alias("n_rows"))
+
+
 def exported_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export gate of every order's paper: blocked, warned of or clean, and whether it goes out."""
     q = validation.annotated(item_questions(spark, sf_dir))
@@ -118,7 +137,7 @@ def typed_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("c_custkey", "s.maximum_marks", "s.marks_per_question", "s.negative_marks", F.col("s.source.maximum_marks").alias("max_source"), F.col("s.source.marks_per_question").alias("per_source"), F.col("s.source.negative_marks").alias("negative_source"), marks.caption(F.col("s.maximum_marks"), F.col("d.maximum_marks"), F.lit("pdf")).alias("caption"), "tail")
 
 
-QUERIES = {f.__name__: f for f in (effective_questions, review_counts, difficulty_summary, difficulty_errors, image_columns, unconfirmed_images, upload_dedup, export_rows, exported_papers, upload_answers, typed_schemes)}
+QUERIES = {f.__name__: f for f in (effective_questions, review_counts, difficulty_summary, difficulty_errors, image_columns, unconfirmed_images, upload_dedup, export_rows, workbook_files, exported_papers, upload_answers, typed_schemes)}
 
 _O = """
 with o as (select o_custkey doc_id, (row_number() over (partition by o_custkey order by o_orderkey))::int sequence_number, o_orderpriority stem, o_orderstatus section, o_orderkey % 3 <> 0 flagged, o_orderkey % 4 = 0 is_image from orders),
@@ -180,6 +199,7 @@ with q as (select l_orderkey doc_id, l_linenumber number, l_partkey p, case when
 f as (select *, ans = '' noans, (p % 17 = 0) or (p % 13 = 0) or (p % 11 < 4) or ans = 'E' or (p % 19 = 0 and p % 2 = 1) or (p % 31 = 0) or (p % 3 = 0 and p % 100 < 60) low from q),
 g as (select doc_id, count(*) filter (low) + count(*) filter (noans) review, count(*) filter (ans = 'E') bad, count(*) - count(distinct number) dup, max(number) - min(number) + 1 - count(distinct number) gap from f group by 1)
 select doc_id, case when bad > 0 or dup > 0 then 'blocked' when review > 0 or gap > 0 then 'warn' else 'clean' end state, bad = 0 and dup = 0 and doc_id % 10 <> 0 exported, (review > 0)::int warnings from g""",
+    "workbook_files": "select l_orderkey doc_id, 'exam' || l_orderkey || case when l_orderkey % 20 = 0 then '_Paper_1' else '' end || '_question_bank.xlsx' file_name, count(*)::int n_rows from lineitem where l_orderkey % 10 = 0 group by 1",
     "upload_answers": "select event_id, case event_id % 4 when 0 then 'u' || event_id when 1 then 'd' || event_id end url from events",
     "typed_schemes": """select c_custkey, (case when c_custkey % 3 = 0 then 120 else 100 end)::double maximum_marks, case when c_custkey % 4 = 0 then null else 2::double end marks_per_question, case when c_custkey % 5 = 0 then 0.5::double end negative_marks,
   case when c_custkey % 3 = 0 then 'manual' else 'pdf' end max_source, case when c_custkey % 4 = 0 then 'not_specified' else 'derived' end per_source, case when c_custkey % 5 = 0 then 'manual' else 'not_specified' end negative_source,

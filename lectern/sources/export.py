@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ..functions.text import strip, xml_clean
 
@@ -58,6 +64,49 @@ def write(df: DataFrame, path: str, key: list[str], form: str = "csv") -> None:
     ordered.drop("sequence_number").write.partitionBy(*key).option("header", True).mode("overwrite").format(form).save(path)
 
 
+# The parts of a workbook with one sheet.
+SHEET = "questions"
+_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+_MAIN, _REL = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE, _OFFICE = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_PARTS = {
+    "[Content_Types].xml": f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{_OFFICE}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{_OFFICE}.worksheet+xml"/></Types>',
+    "_rels/.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name="{SHEET}" sheetId="1" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_REL}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+_NUMBERS = {"Question No", "Marks", "Negative Marks"}
+
+
+def workbook(rows: list[tuple]) -> bytes:
+    """A workbook of HEADER and ``rows``. Texts are inline strings, never formulas; numbers are numbers; blanks have no cell."""
+
+    def cell(name: str, value: str) -> str:
+        if name in _NUMBERS and value.replace(".", "", 1).isdigit():
+            return f"<c><v>{value}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>' if value else "<c/>"
+
+    lines = ["".join(f'<c t="inlineStr"><is><t>{h}</t></is></c>' for h in HEADER), *("".join(map(cell, HEADER, r)) for r in rows)]
+    sheet = f'<worksheet xmlns="{_MAIN}"><sheetData>{"".join(f"<row>{x}</row>" for x in lines)}</sheetData></worksheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, part in (_PARTS | {"xl/worksheets/sheet1.xml": sheet}).items():
+            z.writestr(zipfile.ZipInfo(name), _HEAD + part)
+    return out.getvalue()
+
+
+def workbooks(df: DataFrame, key: list[str], name: Column) -> DataFrame:
+    """key, file_name, content: one workbook file for each paper, its rows in sequence, as bytes for any sink. A paper's rows are few."""
+    check_header(df, key)
+    schema = StructType([*(df.schema[k] for k in key), StructField("file_name", StringType()), StructField("content", BinaryType())])
+
+    def file(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("sequence_number")
+        return pd.DataFrame([[*group[key].iloc[0], group["_name"].iloc[0], workbook(list(group[list(HEADER)].itertuples(index=False, name=None)))]], columns=schema.names)
+
+    return df.withColumn("_name", name).groupBy(*key).applyInPandas(file, schema)
+
+
 def exportable(df: DataFrame, papers: DataFrame, states: DataFrame, key: list[str]) -> DataFrame:
     """Rows of the papers that are neither ambiguous nor blocked. papers: key, status; states: key, state."""
     good = papers.where("status <> 'AMBIGUOUS'").join(states.where("state <> 'blocked'"), key, "left_semi")

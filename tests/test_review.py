@@ -72,6 +72,29 @@ def test_export(spark, tmp_path):
     assert spark.read.option("header", True).option("multiLine", True).csv(str(tmp_path / "out")).count() == 2
 
 
+def test_workbook():
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    row = ["7", "S & T", "objective_single_choice", "", "=1+1 <x>", "1.5", "0", *["a"] * 12]
+    z = zipfile.ZipFile(io.BytesIO(export.workbook([tuple(row)])))
+    assert z.testzip() is None and "xl/workbook.xml" in z.namelist()
+    sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    head, one = sheet.iter(space + "row")
+    assert ["".join(c.itertext()) for c in head] == list(export.HEADER)
+    assert ["".join(c.itertext()) for c in one] == row and [c.get("t") for c in one][:5] == [None, "inlineStr", "inlineStr", None, "inlineStr"]
+
+
+def test_confirmed(spark):
+    cand = spark.createDataFrame([(1, 2, "option_a", "https://u", "h"), (1, 3, "ambiguous", "https://v", "i"), (1, 4, "question", None, "j")], "doc_id int, number int, destination string, image_url string, sha256 string")
+    got = {r.number: r for r in review.confirmed(cand, 10).collect()}
+    assert set(got) == {2, 4} and (got[2].status, got[4].status) == ("uploaded", "failed") and got[2].image_seq > 9
+    q = spark.createDataFrame([(1, 1, 5), (1, 2, 6)], "doc_id int, sequence_number int, source_page int")
+    assert [r.sequence_number for r in review.on_page(q, 6).collect()] == [2]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "s.env").write_text("# c\nA = 1\nB='two=2'\nnone\nC=3\n")
     got = pages.settings(spark.read.text(str(tmp_path / "s.env")), {"C": "env"}, {"D": "dflt"})
