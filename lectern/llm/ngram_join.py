@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .kernel import mix, shingle_sets, signed
-from .shared import components, cut, keep
+from .shared import components, cut, keep, release
 
 _U = np.uint64
 #: The share of a band's sets that may have more small segments than allowed for.
@@ -34,8 +35,6 @@ RARE = 1e-4
 SALT_ROWS, TILE, SKETCH_BITS = 256, 1024, 1024
 #: Nearest members by sketch that are compared in each round.
 NEAREST = (2, 32, TILE)
-#: Candidates' texts to a file.
-TEXTS_A_FILE = 4000
 #: Classes that a task remembers to have indexed, and rows to an output batch.
 SEEN, BATCH = 1 << 20, 1 << 17
 
@@ -247,17 +246,21 @@ def _sketches(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(sketched, "class long, n long, sketch binary")
 
 
-def _rest(stars: DataFrame, belongs: DataFrame, sketches: DataFrame, p: int, q: int, most: int) -> DataFrame:
-    """(a, b): pairs of one bucket in different components that sizes and sketches leave possible; of each member at most
-    the ``most`` nearest by sketch in each tile.
+def _buckets(stars: DataFrame) -> DataFrame:
+    """(sig, class): the buckets of three classes or more, one of those that have the same members."""
+    deep = stars.where("sig is not null")
+    members = deep.select("sig", F.col("b").alias("class")).unionByName(deep.select("sig", F.col("a").alias("class"))).repartition("sig").distinct()
+    hashed = F.xxhash64("class")
+    same = members.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.shiftright(hashed, 8)).alias("h"), F.bit_xor(hashed).alias("x")).groupBy("n", "h", "x").agg(F.min("sig").alias("sig"))
+    return members.join(same.select("sig"), "sig")
+
 
-    Buckets with the same members are one. ``most`` = TILE leaves out nothing.
+def _rest(buckets: DataFrame, belongs: DataFrame, sketches: DataFrame, p: int, q: int, most: int) -> DataFrame:
+    """(a, b): pairs of one bucket in different components that sizes and sketches leave possible; of each member at most
+    the ``most`` nearest by sketch in each tile. ``most`` = TILE leaves out nothing.
     """
-    members = stars.select("sig", F.col("b").alias("class")).unionByName(stars.select("sig", F.col("a").alias("class"))).distinct()
-    named = members.join(belongs.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    hashed = F.xxhash64("class")
-    mixed = named.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.shiftright(hashed, 8)).alias("h"), F.bit_xor(hashed).alias("x")).where("low < high")
-    mixed = mixed.groupBy("n", "h", "x").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / TILE).alias("tiles"))
+    named = buckets.join(belongs.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mixed = named.groupBy("sig").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig", "tiles")
     tiled = named.join(mixed, "sig").join(sketches, "class").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")))
     both = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
         "sig", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") <= F.col("other")).alias("left"), (F.col("tile") == F.col("other")).alias("own"), "class", "component", "n", "sketch"
@@ -288,6 +291,36 @@ def _rest(stars: DataFrame, belongs: DataFrame, sketches: DataFrame, p: int, q:
     return both.groupBy("sig", "t0", "t1").applyInArrow(compared, "a long, b long").distinct()
 
 
+def _texts(docs: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """(class, text), laid out by class, of ``heads`` (class, doc_id). A filter of fixed size leaves most other documents out
+    of the shuffle; those that pass it by chance fall to the join, for which they have told their own class."""
+    send = docs.sparkSession.sparkContext.broadcast(bloom.build(heads.select(F.xxhash64("doc_id").alias("hash"))))
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            few = b.filter(pa.array(bloom.within(send.value, b["hash"].to_numpy())))
+            yield _rows(["class", "doc_id", "text"], [_class(s) if len(s) else 0 for _, s in shingle_sets(few["text"], k)], few["doc_id"], few["text"])
+
+    told = docs.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(filtered, "class long, doc_id long, text string").repartition("class")
+    return told.join(heads, ["class", "doc_id"]).select("class", "text")
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave possible."""
+    left = pairs.join(sketches.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    both = left.join(sketches.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("sa", "sb"))
+            m, n = b["na"].to_numpy(), b["nb"].to_numpy()
+            far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            ok = pa.array((far * (p + q) <= (q - p) * (m + n)) & (np.minimum(m, n) * q >= p * np.maximum(m, n)))
+            yield _rows(["a", "b"], b["a"].filter(ok), b["b"].filter(ok))
+
+    return both.mapInArrow(kept, "a long, b long")
+
+
 def join(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -299,16 +332,20 @@ def join(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = keep(sets(docs, k))
     stars = cut(_index(docs, k, p, q).repartition("sig").sortWithinPartitions("sig", "member").mapInArrow(_stars, "sig long, a long, b long").distinct())
+    release(docs.sparkSession)
     pairs = stars.select("a", "b").distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    heads = own.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class")
-    texts = cut(docs.join(heads, "doc_id").select("class", "text"), TEXTS_A_FILE)
-    links = cut(verify(pairs, texts, k, p, q))
-    belongs = components(links)
+    heads = keep(own.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class"))
+    # laid out by class once, as every round of verification joins it so
+    texts = keep(_texts(docs, heads, k))
     sketches = keep(_sketches(texts, k))
+    links = cut(verify(_plausible(pairs, sketches, p, q), texts, k, p, q))
+    belongs = components(links)
+    release(docs.sparkSession)
+    buckets = cut(_buckets(stars))
     # the nearest first: what they link needs no further comparison; the last round leaves out nothing
     for most in NEAREST:
-        rest = cut(_rest(stars.where("sig is not null"), belongs, sketches, p, q, most))
+        rest = cut(_rest(buckets, belongs, sketches, p, q, most))
         if rest.isEmpty():
             break
         links = cut(links.unionByName(verify(rest, texts, k, p, q)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark import StorageLevel
@@ -37,6 +38,12 @@ def cut(df: DataFrame, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver look for what is no longer in use now, so that the files of shuffles behind a cut go before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**40))).alias("s")).first()
     return r["n"], r["s"] or 0
