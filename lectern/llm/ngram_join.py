@@ -255,9 +255,9 @@ def _buckets(stars: DataFrame) -> DataFrame:
     return members.join(same.select("sig"), "sig")
 
 
-def _rest(buckets: DataFrame, belongs: DataFrame, sketches: DataFrame, p: int, q: int, most: int) -> DataFrame:
+def _rest(buckets: DataFrame, belongs: DataFrame, sketches: DataFrame, p: int, q: int, most: int | None) -> DataFrame:
     """(a, b): pairs of one bucket in different components that sizes and sketches leave possible; of each member at most
-    the ``most`` nearest by sketch in each tile. ``most`` = TILE leaves out nothing.
+    the ``most`` nearest by sketch in each tile. ``most`` = None leaves out nothing.
     """
     named = buckets.join(belongs.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = named.groupBy("sig").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig", "tiles")
@@ -282,7 +282,7 @@ def _rest(buckets: DataFrame, belongs: DataFrame, sketches: DataFrame, p: int, q
                 far = np.bitwise_count(bits[o] ^ bits[x]).sum(1)
                 ok = far * (p + q) <= (q - p) * (n[o] + n[x])
                 o, far = o[ok], far[ok]
-                if len(o) > most:
+                if most is not None and len(o) > most:
                     o = o[np.argsort(far, kind="stable")[:most]]
                 a.append(np.minimum(cls[o], cls[x]))
                 b.append(np.maximum(cls[o], cls[x]))

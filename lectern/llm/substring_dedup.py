@@ -3,9 +3,10 @@
 A paragraph here is a sentence or line (longer ones are parted at words picked by content), so a passage put into the
 middle of other text still shares whole paragraphs with its other places. Equal paragraphs are found by a map-side
 combined group-by of their hash. Different ones collide in BANDS bands of ROWS MinHash values over their 5-word shingles:
-at a similarity of 0.8 a pair is missed with probability (1 - 0.8**2)**5 = 0.6 %. Only links to one pivot of a bucket are
-candidates; each is verified by the exact Jaccard similarity of the texts. Components of verified links are classes, and a
-class's first place stays. Neighbouring repeated paragraphs of a document join to one span.
+at a similarity of 0.8 a pair is missed with probability (1 - 0.8**2)**5 = 0.6 %. Links to one pivot of a bucket are
+candidates first; then the members of a bucket that these leave in different components are compared with each other, in
+bounded tiles, until nothing is left out. Each link is verified by the exact Jaccard similarity of the texts. Components of
+verified links are classes, and a class's first place stays. Neighbouring repeated paragraphs of a document join to one span.
 
 The repeated paragraphs' hashes go to the scan that looks for their places as a Bloom filter of fixed size; false
 positives fall to an exact join.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bloom
+from . import bloom, ngram_join
 from .kernel import _PLACE, _powers, mix, signed, slices, words
 from .shared import components, cut, keep
 
@@ -29,6 +30,8 @@ BANDS, ROWS = 5, 2
 #: Words of a paragraph at least; words over which one is parted; words of a reported span at least, and of a gap inside one at most.
 LEAST, LONG, SPAN, GAP = 5, 64, 20, 12
 SEEN = 1 << 20
+#: Of a paragraph, the pairs a tile gives in each round after that of the pivots; None leaves out nothing.
+NEAREST = (1, 16, None)
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
@@ -157,6 +160,24 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(checked, "u long, v long")
 
 
+def _linked(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of the paragraphs that are linked: those of ``stars`` (bucket, a, b) first, then what these leave apart in one bucket."""
+    links = cut(_similar(stars.select("a", "b").distinct(), texts))
+    belongs = components(links)
+    deep = stars.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("sig"))
+    buckets = cut(ngram_join._buckets(stars.withColumnRenamed("bucket", "sig").join(deep, "sig")))
+    if buckets.isEmpty():
+        return belongs
+    sketches = keep(ngram_join._sketches(texts.withColumnRenamed("u", "class"), K))
+    for most in NEAREST:
+        rest = cut(ngram_join._rest(buckets, belongs, sketches, P, Q, most))
+        if rest.isEmpty():
+            break
+        links = cut(links.unionByName(_similar(rest, texts)))
+        belongs = components(links)
+    return belongs
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """One row per repeated passage of a document: doc_id, start, end (code points), n_words, first_doc_id, removed.
 
@@ -168,11 +189,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     equal = cut(_seen(docs).groupBy("u").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("u"))
     banded = _banded(docs)
     pivots = banded.groupBy("bucket").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a < b")
-    stars = cut(banded.join(pivots, "bucket").where("u <> a").select("a", F.col("u").alias("b")).distinct())
+    stars = cut(banded.join(pivots, "bucket").where("u <> a").select("bucket", "a", F.col("u").alias("b")).distinct())
     near = stars.select(F.explode(F.array("a", "b")).alias("u")).distinct()
     places = keep(_places(docs, bloom.build(equal, "u"), bloom.build(near, "u")))
-    texts = places.where("text is not null").join(near, "u").groupBy("u").agg(F.min("text").alias("text"))
-    belongs = components(_similar(stars, texts)).withColumnRenamed("node", "u")
+    texts = keep(places.where("text is not null").join(near, "u").groupBy("u").agg(F.min("text").alias("text")))
+    belongs = _linked(stars, texts).withColumnRenamed("node", "u")
     known = places.drop("text").join(equal.withColumn("equal", F.lit(True)), "u", "left").join(belongs, "u", "left").where("equal or component is not null").withColumn("class", F.coalesce("component", "u"))
     first = known.groupBy("class").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
     found = known.join(first, "class")

@@ -177,6 +177,36 @@ def test_near_paragraph(spark):
     assert sorted((r.doc_id, r.first_doc_id) for r in substring_dedup.repeats(frame(spark, rows)).collect()) == [(1, 1), (2, 1)]
 
 
+def _paragraph(text):
+    import numpy as np
+
+    raw = text.encode()
+    return int(substring_dedup.signed(substring_dedup.paragraphs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])[0])
+
+
+def test_near_paragraphs_behind_unlike_pivots(spark):
+    # in every bucket that two similar paragraphs share, the smallest member is a paragraph unlike both
+    rnd = random.Random(11)
+    for n in range(20):
+        x = [f"p{n}w{i}" for i in range(40)]
+        y = [*x[:-1], f"p{n}last"]
+        x, y, fill = " ".join(x), " ".join(y), iter(range(10**6))
+        w = x.split(" ")
+        unlike = [" ".join(w[i : i + 5] + [f"p{n}f{next(fill)}"] + w[j : j + 5] + [f"p{n}f{next(fill)}"]) for i in range(0, 31) for j in range(i + 5, 36)]
+        text = {_paragraph(t): t for t in [x, y, *rnd.sample(unlike, len(unlike))]}
+        buckets = {}
+        for r in substring_dedup._banded(frame(spark, list(enumerate(text.values())))).collect():
+            buckets.setdefault(r.bucket, set()).add(r.u)
+        pair = {_paragraph(x), _paragraph(y)}
+        shared = [b for b in buckets.values() if pair <= b]
+        if shared and all(min(b) not in pair for b in shared):
+            break
+    else:
+        raise AssertionError("no such pair")
+    rows = [(i, t) for i, t in enumerate([x, y, *(text[u] for u in {min(b) for b in shared})])]
+    assert sorted((r.doc_id, r.first_doc_id) for r in substring_dedup.repeats(frame(spark, rows)).collect()) == [(0, 0), (1, 0)]
+
+
 def test_oracle(spark):
     from lectern.llm.queries import ORACLES, QUERIES
     from tests.oracle import check
