@@ -6,7 +6,12 @@ combined group-by of their hash. Different ones collide in BANDS bands of ROWS M
 at a similarity of 0.8 a pair is missed with probability (1 - 0.8**2)**5 = 0.6 %. Links to one pivot of a bucket are
 candidates first; then the members of a bucket that these leave in different components are compared with each other, in
 bounded tiles, until nothing is left out. Each link is verified by the exact Jaccard similarity of the texts. Components of
-verified links are classes, and a class's first place stays. Neighbouring repeated paragraphs of a document join to one span.
+verified links are classes, and a class's first place stays.
+
+A passage that starts or ends inside a sentence may hold few whole paragraphs. So the runs of SPAN words, wherever they
+start, are units as well: of each WINDOW neighbouring ones that with the smallest hash. A verbatim passage of
+SPAN + WINDOW - 1 = 50 words holds all of a window, so all its places share at least one run. Neighbouring repeated
+paragraphs and runs of a document join to one span.
 
 The repeated paragraphs' hashes go to the scan that looks for their places as a Bloom filter of fixed size; false
 positives fall to an exact join.
@@ -22,13 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom, ngram_join
-from .kernel import _PLACE, _powers, mix, signed, slices, words
+from .kernel import _BASE, _PLACE, _powers, mix, signed, slices, words
 from .shared import components, cut, keep
 
 K, P, Q = 5, 80, 100
 BANDS, ROWS = 5, 2
 #: Words of a paragraph at least; words over which one is parted; words of a reported span at least, and of a gap inside one at most.
 LEAST, LONG, SPAN, GAP = 5, 64, 20, 12
+#: Runs of SPAN words of which the one with the smallest hash is a unit.
+WINDOW = 31
 SEEN = 1 << 20
 #: Of a paragraph, the pairs a tile gives in each round after that of the pivots; None leaves out nothing.
 NEAREST = (1, 16, None)
@@ -60,6 +67,41 @@ def paragraphs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return u, row[first], first - base, size, start[first], end[first + size - 1], first, h
 
 
+_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _sliding(x: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` of each ``size`` neighbours."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        x = pick(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, row, first word in the row, words, first byte, past the last byte) of the smallest run of SPAN words of each
+    WINDOW neighbouring ones of a row; of equal ones directly after each other the first."""
+    h, start, end, row = words(raw, at)
+    n = len(h) - SPAN + 1
+    if n < WINDOW:
+        e = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), e, e, e, e, e
+    power = np.full(len(h) + 1, _UNBASE, np.uint64)
+    power[0] = 1
+    total = np.append(np.uint64(0), np.cumsum(h * _powers(len(h)), dtype=np.uint64))
+    s = mix((total[SPAN:] - total[:n]) * np.cumprod(power[:n], dtype=np.uint64) + _PLACE[4])
+    whole = row[: n - WINDOW + 1] == row[SPAN + WINDOW - 2 :]
+    # the largest of the minima of the windows around a run; a window over two rows counts as none
+    none = np.zeros(WINDOW - 1, np.uint64)
+    low = np.concatenate([none, np.where(whole, _sliding(s, WINDOW, np.minimum), np.uint64(0)), none])
+    m = _sliding(low, WINDOW, np.maximum) == s
+    m[1:] &= (s[1:] != s[:-1]) | (row[1:n] != row[: n - 1])
+    first = np.flatnonzero(m)
+    return s[first], row[first], first - np.searchsorted(row, row[first]), np.full(len(first), SPAN), start[first], end[first + SPAN - 1]
+
+
 def _shingles(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first of each paragraph) of the K-word shingles inside paragraphs, one after the other."""
     count = size - K + 1
@@ -72,13 +114,13 @@ def _shingles(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.nd
 
 
 def _seen(docs: DataFrame) -> DataFrame:
-    """(u, doc_id) of each paragraph."""
+    """(u, doc_id) of each paragraph and run."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, high, raw, at in slices(b["text"]):
-                u, row, *_ = paragraphs(raw, at)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(u)), b["doc_id"].slice(low, high - low).take(pa.array(row))], names=["u", "doc_id"])
+                for u, row, *_ in (paragraphs(raw, at), runs(raw, at)):
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(u)), b["doc_id"].slice(low, high - low).take(pa.array(row))], names=["u", "doc_id"])
 
     return docs.mapInArrow(scanned, "u long, doc_id long")
 
@@ -114,16 +156,17 @@ def _banded(docs: DataFrame) -> DataFrame:
 
 
 def _places(docs: DataFrame, repeated: np.ndarray, near: np.ndarray) -> DataFrame:
-    """(u, doc_id, word, words, start, end, text) of the paragraphs that a filter lets pass, in code points; text (bytes) of those in ``near``."""
+    """(u, doc_id, word, words, start, end, text) of the paragraphs and runs that a filter lets pass, in code points; text (bytes) of the paragraphs in ``near``."""
     send = docs.sparkSession.sparkContext.broadcast((repeated, near))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = send.value
         for b in batches:
             for low, high, raw, at in slices(b["text"]):
-                u, row, word, size, start, end, _, _ = paragraphs(raw, at)
+                parts = paragraphs(raw, at)[:6], runs(raw, at)
+                u, row, word, size, start, end = (np.concatenate(c) for c in zip(*parts, strict=True))
                 x = signed(u)
-                similar = bloom.within(two, x)
+                similar = bloom.within(two, x) & (np.arange(len(x)) < len(parts[0][0]))
                 m = np.flatnonzero(similar | bloom.within(one, x))
                 points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
                 base = points[at[row]]
@@ -181,7 +224,9 @@ def _linked(stars: DataFrame, texts: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """One row per repeated passage of a document: doc_id, start, end (code points), n_words, first_doc_id, removed.
 
-    Documents without one have no row. first_doc_id is the smallest document with a paragraph of the passage; removed
+    A verbatim passage of 50 words or more has a row in each of its documents, wherever in a sentence it starts or ends;
+    a shorter one of SPAN words or more has if it holds that many words of whole paragraphs. start and end are those of
+    the outermost units of a passage, which may lie inside it. Documents without one have no row. first_doc_id is the smallest document with a paragraph of the passage; removed
     says whether some of its paragraphs have their first place elsewhere. Only repetition across documents counts. Null,
     empty and short texts have no rows. doc_id is taken to be a key; extra columns are ignored; no rows give no rows.
     """
@@ -198,6 +243,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = known.groupBy("class").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
     found = known.join(first, "class")
     order = Window.partitionBy("doc_id").orderBy("word")
-    new = F.coalesce((F.col("word") - F.lag(F.col("word") + F.col("words")).over(order) > GAP).cast("int"), F.lit(1))
+    new = F.coalesce((F.col("word") - F.max(F.col("word") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1)) > GAP).cast("int"), F.lit(1))
     spans = found.withColumn("new", new).withColumn("span", F.sum("new").over(order)).groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("n_words"), F.min("first_doc_id").alias("first_doc_id"), F.max(F.col("first_doc_id") < F.col("doc_id")).alias("removed"))
     return spans.where(F.col("n_words") >= SPAN).drop("span")

@@ -177,6 +177,28 @@ def test_near_paragraph(spark):
     assert sorted((r.doc_id, r.first_doc_id) for r in substring_dedup.repeats(frame(spark, rows)).collect()) == [(1, 1), (2, 1)]
 
 
+def test_passages_inside_sentences(spark):
+    # verbatim passages of 50 words or more, put into the middle of sentences of two texts each, with and without sentence marks
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    rows, want, inside = [], [], {}
+    for n in range(120):
+        passage = [word() + ("." if n % 2 and rnd.random() < 0.08 else "") for _ in range(50 + n % 3)]
+        for _ in range(2):
+            host = [word() + ("." if rnd.random() < 0.08 else "") for _ in range(rnd.randint(40, 150))]
+            at = rnd.randrange(1, len(host))
+            want.append((len(rows), len(rows) // 2 * 2, bool(len(rows) % 2)))
+            inside[len(rows)] = set(passage)
+            rows.append((len(rows), " ".join([*host[:at], *passage, *host[at:]])))
+    rows += [(len(rows) + i, " ".join(word() for _ in range(300))) for i in range(20)]
+    rows += [(len(rows), "é " * 5000), (len(rows) + 1, " ".join(f"v{i}" for i in range(49))), (len(rows) + 2, " ".join(f"v{i}" for i in range(49)) + ".")]
+    got = sorted(substring_dedup.repeats(frame(spark, rows)).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.first_doc_id, r.removed) for r in got if r.doc_id < 240] == want
+    assert not [r for r in got if 240 <= r.doc_id < 261]
+    for r in got[:240]:
+        assert r.n_words >= 20 and len(set(rows[r.doc_id][1][r.start : r.end].split()) & inside[r.doc_id]) >= 20
+
+
 def _paragraph(text):
     import numpy as np
 
