@@ -103,3 +103,11 @@ def test_sources(spark, tmp_path):
     assert pages.read(spark, str(tmp_path / "p"), "pages").count() == 1
     nested = spark.createDataFrame([(1, 1, [([([("x", [0.0, 1.0, 2.0, 3.0], 9.0, "F")],)],)])], "doc_id long, page_number int, blocks array<struct<lines:array<struct<spans:array<struct<text:string,bbox:array<double>,size:double,font:string>>>>>>")
     assert pages.flat_spans(nested).first().y1 == 3.0
+
+
+def test_every_paper_has_a_workbook(spark, sf_dir):
+    from lectern.plans.review import workbook_files
+
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").count()
+    want = {r.l_orderkey: (f"exam{r.l_orderkey}{'_Paper_1' if r.l_orderkey % 20 == 0 else ''}_question_bank.xlsx", r["count"]) for r in items.collect()}
+    assert {r.doc_id: (r.file_name, r.n_rows) for r in workbook_files(spark, sf_dir).collect()} == want
