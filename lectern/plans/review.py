@@ -89,8 +89,8 @@ def upload_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nineteen columns of the first four questions of each order's paper, with images by number and a derived scheme."""
-    q = item_questions(spark, sf_dir).where("sequence_number <= 4").withColumn("number", F.col("sequence_number"))
+    """The nineteen columns of every question of each order's paper, with images by number and a derived scheme."""
+    q = item_questions(spark, sf_dir).withColumn("number", F.col("sequence_number"))
     q = q.withColumn("difficulty_level", F.get(F.array(F.lit("easy"), F.lit("hardest"), F.lit("hard")), (F.col("sequence_number") % 3)))
     schemes = q.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", marks.build_scheme(F.col("n"), F.when(F.col("doc_id") % 2 == 0, F.lit(12)), F.when(F.col("doc_id") % 3 == 0, F.lit(0.25))).alias("scheme"))
     t = export.table(q, ops.image_columns(ops.latest_images(event_images(spark, sf_dir), KEY), KEY), schemes, KEY)

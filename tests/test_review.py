@@ -111,3 +111,16 @@ def test_every_paper_has_a_workbook(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").count()
     want = {r.l_orderkey: (f"exam{r.l_orderkey}{'_Paper_1' if r.l_orderkey % 20 == 0 else ''}_question_bank.xlsx", r["count"]) for r in items.collect()}
     assert {r.doc_id: (r.file_name, r.n_rows) for r in workbook_files(spark, sf_dir).collect()} == want
+
+
+def test_every_question_is_exported(spark, sf_dir):
+    from lectern.plans.review import ORACLES, export_rows
+
+    from .oracle import check
+
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    sizes = {r.l_orderkey: r["count"] for r in items.groupBy("l_orderkey").count().collect()}
+    got = export_rows(spark, sf_dir).cache()
+    assert max(sizes.values()) > 4 and {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == sizes
+    # the registered SQL without its cap
+    assert check(got, ORACLES["export_rows"].replace(" where n <= 4)", ")"), sf_dir) == sum(sizes.values())
