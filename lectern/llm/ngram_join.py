@@ -33,8 +33,8 @@ _U = np.uint64
 RARE = 1e-4
 #: Pairs checked against one copy of a pivot's text; members of one tile; bits of a parity sketch.
 SALT_ROWS, TILE, SKETCH_BITS = 256, 1024, 1024
-#: Nearest members by sketch that are compared in each round.
-NEAREST = (2, 32, TILE)
+#: Nearest members by sketch that are compared in each round; None leaves out nothing, however full a tile is.
+NEAREST = (2, 32, None)
 #: Classes that a task remembers to have indexed, and rows to an output batch.
 SEEN, BATCH = 1 << 20, 1 << 17
 

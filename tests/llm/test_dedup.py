@@ -153,6 +153,17 @@ def test_every_similar_pair_shares_a_signature():
     assert seen > 500
 
 
+def test_last_round_leaves_out_nothing(spark, monkeypatch):
+    # a tile of more than 1,024 classes whose sketches tell nothing
+    monkeypatch.setattr(ngram_join, "TILE", 2048)
+    n = 1200
+    of = spark.range(n).select(F.col("id").alias("class"))
+    none = spark.createDataFrame([], "node long, component long")
+    sketches = of.select("class", F.lit(2500).cast("long").alias("n"), F.lit(bytearray(ngram_join.SKETCH_BITS // 8)).alias("sketch"))
+    rest = ngram_join._rest(of.select(F.lit(1).cast("long").alias("sig"), "class"), none, sketches, 85, 100, ngram_join.NEAREST[-1])
+    assert rest.count() == n * (n - 1) // 2
+
+
 def test_passages(spark):
     rnd = random.Random(4)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
