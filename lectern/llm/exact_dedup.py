@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import id_and_text, keep, one_of_each, passing
 
 #: The polynomial's two moduli and bases, and bytes to a chunk.
 PRIMES = (2147483629, 2147483587)
@@ -86,7 +86,12 @@ def combine_chunks(chunks: DataFrame) -> DataFrame:
     return s.select("doc_id", (F.col("h0") * F.lit(2**31) + F.col("h1")).alias("fp"), "bytes")
 
 
-_DIGEST = "doc_id long, fp long, bytes long, points long, text_sha256 string"
+_DIGEST = "doc_id long, row long, fp long, bytes long, points long, sha binary"
+
+
+def _fingerprint(flat: bytes) -> int:
+    a, b = fingerprint(flat)
+    return a * 2**31 + b
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,64 +100,77 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in b["text"].cast(pa.binary()):
             raw = x.as_py() or b""
             flat = raw.translate(None, SPACES)
-            h = fingerprint(flat)
-            out[0].append(h[0] * 2**31 + h[1])
+            out[0].append(_fingerprint(flat))
             out[1].append(len(flat))
             out[2].append(len(raw) - int(np.count_nonzero((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80)))
-            out[3].append(hashlib.sha256(flat).hexdigest())
-        yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "fp", "bytes", "points", "text_sha256"])
+            out[3].append(hashlib.sha256(flat).digest())
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], *(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.binary())], names=["doc_id", "row", "fp", "bytes", "points", "sha"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come as groups: one text of a salt of a group first (head), then the others. Says which equal it, chunk by chunk.
 
-    A text that hasn't its row's fingerprint is another row's, of the same doc_id, and is passed over.
+    A text that hasn't its row's fingerprint belongs to another row of the same key, and is passed over.
     """
     key, head = None, b""
     for b in batches:
         out: list[tuple] = []
-        for k0, k1, salt, first, doc, raw in zip(b["fp"].to_pylist(), b["bytes"].to_pylist(), b["salt"].to_pylist(), b["head"].to_pylist(), b["doc_id"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
+        for k0, k1, salt, first, row, raw in zip(b["fp"].to_pylist(), b["bytes"].to_pylist(), b["salt"].to_pylist(), b["head"].to_pylist(), b["row"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
             flat = memoryview((raw or b"").translate(None, SPACES))
-            if len(flat) != k1 or (h := fingerprint(flat))[0] * 2**31 + h[1] != k0:
+            if len(flat) != k1 or _fingerprint(flat) != k0:
                 continue
             if first and key != (k0, k1, salt):
                 key, head = (k0, k1, salt), flat
             else:
-                out.append((doc, k0, k1, all(flat[i : i + CHUNK] == head[i : i + CHUNK] for i in range(0, len(flat), CHUNK))))
+                out.append((row, k0, k1, all(flat[i : i + CHUNK] == head[i : i + CHUNK] for i in range(0, len(flat), CHUNK))))
         columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.bool_())], names=["doc_id", "fp", "bytes", "same"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.bool_())], names=["row", "fp", "bytes", "same"])
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, keep_id, keep_row, group_size, sha), one row per row of ``docs``."""
+    docs = id_and_text(docs)
+    digests = keep(docs.mapInArrow(_digests, _DIGEST))
+    groups = digests.groupBy("fp", "bytes").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.approx_count_distinct("row").alias("size")).where("first < last").drop("last")
+    salts = F.ceil(F.col("size") / SALT_ROWS)
+    members = digests.select("row", "fp", "bytes").distinct().join(groups, ["fp", "bytes"])
+    need = keep(
+        members.where("row <> first").select("row", "fp", "bytes", F.pmod(F.xxhash64("row"), salts).alias("salt"), F.lit(False).alias("head")).unionByName(
+            groups.select(F.col("first").alias("row"), "fp", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(True).alias("head"))
+        )
+    )
+    # one text of each different row of the groups, dealt by group and salt; the head of a salt sorts first
+    texts = docs.where(passing(need, "row", F.col("row"))).groupBy("row").agg(F.first("text").alias("text")).join(need, "row")
+    dealt = texts.repartition("fp", "bytes", "salt").sortWithinPartitions("fp", "bytes", "salt", F.desc("head"))
+    same = dealt.select("fp", "bytes", "salt", "head", "row", "text").mapInArrow(_compared, "row long, fp long, bytes long, same boolean")
+    off = same.where("not same").select("row", "fp", "bytes").distinct().withColumn("off", F.lit(True))
+    keyed = digests.join(off, ["row", "fp", "bytes"], "left").withColumn("part", F.when(F.col("off"), F.col("sha")))
+    best = F.max(F.struct("points", (-F.col("doc_id")).alias("id"), "row"))
+    chosen = keyed.groupBy("fp", "bytes", "part").agg(F.count("*").alias("group_size"), best.alias("best")).select(F.col("fp").alias("f"), F.col("bytes").alias("b"), F.col("part").alias("p"), "group_size", (-F.col("best.id")).alias("keep_id"), F.col("best.row").alias("keep_row"))
+    return keyed.join(chosen, (F.col("fp") == F.col("f")) & (F.col("bytes") == F.col("b")) & F.col("part").eqNullSafe(F.col("p"))).select("doc_id", "row", "keep_id", "keep_row", "group_size", "sha")
+
+
+def _stays():
+    return (F.col("row") == F.col("keep_row")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space ([\\x20\\x09-\\x0D]); a null text is empty, and empty texts are
-    equal. The row with the most code points, then the smallest doc_id stays. Rows that repeat a doc_id share its
-    fate within a group, and a null doc_id stays only where no other of its group can. Other columns are ignored. No
-    rows give no rows.
+    equal. The row with the most code points, then the smallest doc_id stays; a null doc_id stays only where no other of
+    its group as long can. Rows with the same doc_id and text share their fate. Other columns are ignored. No rows give no
+    rows.
 
-    The text itself is read twice and never sorted as a whole: the first pass leaves 100 bytes a row; only texts in groups
-    of two or more are shuffled for the comparison, salted so that no task gets more than SALT_ROWS of a group's rows
-    with one copy of its head.
+    The text itself is read twice and never sorted as a whole: the first pass leaves some 80 bytes a row; only one text of
+    each different row in groups is shuffled for the comparison (a filter of bounded size finds them in the scan), salted so
+    that no task gets more than about SALT_ROWS of a group's texts with one copy of its head.
     """
-    digests = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests, _DIGEST))
-    groups = digests.groupBy("fp", "bytes").agg(F.count("*").alias("size"), F.min("doc_id").alias("head_id")).where("size > 1")
-    members = digests.select("doc_id", "fp", "bytes").join(groups, ["fp", "bytes"])
-    salts = F.ceil(F.col("size") / SALT_ROWS)
-    need = members.where("doc_id <> head_id").select("doc_id", "fp", "bytes", F.pmod(F.xxhash64("doc_id"), salts).alias("salt"), F.lit(False).alias("head")).unionByName(
-        groups.select(F.col("head_id").alias("doc_id"), "fp", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(True).alias("head"))
-    )
-    # texts of the groups only, dealt by group and salt; the head of a salt sorts first
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, "doc_id")
-    dealt = texts.repartition("fp", "bytes", "salt").sortWithinPartitions("fp", "bytes", "salt", F.desc("head"))
-    same = dealt.select("fp", "bytes", "salt", "head", "doc_id", "text").mapInArrow(_compared, "doc_id long, fp long, bytes long, same boolean")
-    off = same.where("not same").select("doc_id", "fp", "bytes").distinct().withColumn("off", F.lit(True))
-    keyed = digests.join(off, ["doc_id", "fp", "bytes"], "left").withColumn("part", F.when(F.col("off"), F.col("text_sha256")).otherwise(F.lit("")))
-    best = F.max_by("doc_id", F.struct("points", -F.col("doc_id")))
-    kept = keyed.groupBy("fp", "bytes", "part").agg(F.count("*").alias("group_size"), best.alias("keep_id"))
-    return keyed.join(kept, ["fp", "bytes", "part"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return _groups(docs).select("doc_id", "keep_id", "group_size", _stays().alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that another one stands for; all columns, unchanged."""
-    return docs.join(duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped")), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """``docs`` without the rows that another one stands for; all columns, unchanged, whatever their names. One row of each
+    group of equal texts stays, also where rows repeat a doc_id, have none, or are the same in every column."""
+    groups = _groups(docs).where("group_size > 1")
+    return one_of_each(docs, groups.select("row", "doc_id", _stays().alias("stays")))

@@ -1,14 +1,17 @@
-"""What the operators share: the shared folder, reading tables, and connected components without the driver."""
+"""What the operators share: the shared folder, reading tables, rows and their keys, and connected components without the driver."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, MapType
 
+from . import bloom
 
 #: Rows of links to a file of a checkpoint.
 ROWS_A_FILE = 200_000
@@ -23,25 +26,75 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def cut(df: DataFrame, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
-    """Writes ``df`` to the cluster's shared checkpoint folder and reads it from there, so that lost executors cost nothing
-    and the shuffles behind it can go. The rows are gathered into files of about ``rows_a_file``, however many tasks made them.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where a session has none (tests) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, the folder that all machines share. A local session without one (tests) gets a temporary one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith(("local[", "local-cluster")) and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+    """Writes ``df``, rows of a few numbers, to the shared checkpoint folder and reads it from there, so that lost executors
+    cost nothing and the shuffles behind it can go. The rows are gathered into files of about ``rows_a_file``, however many
+    tasks made them."""
+    _folder(df.sparkSession)
     held = keep(df)
     out = held.coalesce(1 + held.count() // rows_a_file).checkpoint()
     held.unpersist()
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver look for what is no longer in use now, so that the files of shuffles behind a cut go before the next large step."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, rows of any size, written as Parquet under the shared checkpoint folder and read from there: as many files as
+    its tasks made, cut anew by bytes when they are read, and columns that nobody asks for stay unread."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_key() -> Column:
+    """64 bits that stand for a row's doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
+
+
+def passing(keys: DataFrame, name: str, column: Column) -> Column:
+    """Whether a row's ``column`` may be among the keys: false for most others, true for all of them."""
+    send = keys.sparkSession.sparkContext.broadcast(bloom.build(keys, name))
+
+    @F.arrow_udf("boolean")
+    def within(hashes: pa.Array) -> pa.Array:
+        return pa.array(bloom.within(send.value, hashes.to_numpy(zero_copy_only=False)))
+
+    return within(column)
+
+
+def _has_map(kind: DataType) -> bool:
+    parts = [f.dataType for f in kind.fields] if hasattr(kind, "fields") else [kind.elementType] if hasattr(kind, "elementType") else []
+    return isinstance(kind, MapType) or any(map(_has_map, parts))
+
+
+def one_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` without the rows that another stands for; all columns, unchanged, whatever their names.
+
+    members: (row, doc_id, stays), what is to become of the rows of groups; ``row`` is their row_key. Of several rows with the
+    same doc_id and text that stay, the one whose values hash lowest does. Rows that aren't members stay. Only the members
+    (and what a filter takes for one) are shuffled.
+    """
+    members = keep(members.select(F.col("row").alias("m"), F.col("doc_id").alias("i"), "stays").distinct())
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    may = passing(members.select("m"), "m", F.col("row"))
+    told = whole.where(may).join(members, (F.col("row") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
+    pick = F.first("whole") if _has_map(docs.schema) else F.min_by("whole", F.xxhash64("whole"))
+    once = told.where("stays").groupBy("row", "doc_id").agg(pick.alias("whole"))
+    return whole.where(~may).select("whole.*").unionByName(told.where("stays is null").select("whole.*")).unionByName(once.select("whole.*"))
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:

@@ -54,11 +54,42 @@ def test_collision_falls_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "fingerprint", lambda data: (1, 1))
     import pyarrow as pa
 
-    (b,) = exact_dedup._digests(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": pa.array(["aa", "bb"])})]))
-    assert b["fp"][0].as_py() == b["fp"][1].as_py() and b["text_sha256"][0] != b["text_sha256"][1]
-    rows = pa.RecordBatch.from_pydict({"fp": pa.array([2**31 + 1] * 3), "bytes": pa.array([2, 2, 2]), "salt": pa.array([0, 0, 0]), "head": pa.array([True, False, False]), "doc_id": pa.array([1, 2, 3]), "text": pa.array(["aa", "bb", "a a"])})
+    (b,) = exact_dedup._digests(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "row": pa.array([1, 2]), "text": pa.array(["aa", "bb"])})]))
+    assert b["fp"][0].as_py() == b["fp"][1].as_py() and b["sha"][0] != b["sha"][1]
+    rows = pa.RecordBatch.from_pydict({"fp": pa.array([2**31 + 1] * 3), "bytes": pa.array([2, 2, 2]), "salt": pa.array([0, 0, 0]), "head": pa.array([True, False, False]), "row": pa.array([1, 2, 3]), "text": pa.array(["aa", "bb", "a a"])})
     (out,) = exact_dedup._compared(iter([rows]))
-    assert out.select(["doc_id", "same"]).to_pydict() == {"doc_id": [2, 3], "same": [False, True]}
+    assert out.select(["row", "same"]).to_pydict() == {"row": [2, 3], "same": [False, True]}
+
+
+CLASHES = "row whole i m may hash class n sketch component stays keep_id _dropped _id _row fp bytes".split()
+
+
+def clashing(spark, rows):
+    """Rows of (doc_id, text) with a column of every name that the operators use inside."""
+    return spark.createDataFrame([(i, t, *[f"{c}!" for c in CLASHES]) for i, t in rows], "doc_id int, text string, " + ", ".join(f"{c} string" for c in CLASHES))
+
+
+def test_stages_lose_no_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (5, a), (5, b), (None, b + " "), (None, "only " + a[:40]), (7, b), (None, "z y"), (None, "z y"), (8, ""), (8, "")]
+    for f, blanks in ((exact_dedup.kept, 1), (ngram_join.representatives, 2)):
+        got = f(clashing(spark, rows))
+        assert got.columns == clashing(spark, rows).columns
+        got = got.collect()
+        assert sorted((str(r.doc_id), r.text) for r in got if r.text) == sorted([("1", a), ("None" if f is exact_dedup.kept else "5", b + " " * (f is exact_dedup.kept)), ("None", "only " + a[:40]), ("None", "z y")])
+        assert sum(r.text == "" for r in got) == blanks and all(r[c] == f"{c}!" for r in got for c in CLASHES)
+        maps = clashing(spark, rows).withColumn("x", F.create_map(F.lit("k"), F.lit(1)))
+        assert f(maps).count() == len(got) and f(clashing(spark, []).limit(0)).count() == 0
+
+
+def test_filter_holds_all_its_keys(spark):
+    from lectern.llm import bloom
+
+    for n in (0, 1, 1000, 50_000):
+        bits = bloom.build(spark.range(n).select(F.xxhash64("id").alias("hash")))
+        h = spark.range(2 * n).select(F.xxhash64("id").alias("hash")).toArrow()["hash"].to_numpy()
+        ok = bloom.within(bits, h)
+        assert ok[:n].all() and ok[n:].sum() <= 0.05 * n
 
 
 def test_components(spark):
@@ -153,6 +184,34 @@ def test_every_similar_pair_shares_a_signature():
     assert seen > 500
 
 
+def test_unlike_sets_share_no_signature():
+    # also very short sets, whose segments are often empty: buckets must not grow with the corpus
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 6, 7, 8, 10, 13, 20, 40):
+        count = {}
+        for _ in range(1500):
+            for x in set(ngram_join.signatures(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)), 80, 100)[0].tolist()):
+                count[x] = count.get(x, 0) + 1
+        assert max(count.values()) == 1
+
+
+def test_sketch_distance_is_a_lower_bound():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 200, 300, 5000):
+        s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for far in (0, 1, n // 5):
+            t = np.unique(np.concatenate([s[far:], rng.integers(0, 2**64, far + n // 20, dtype=np.uint64)]))
+            x, y = ngram_join.sketch(s), ngram_join.sketch(t)
+            size = min(len(x), len(y))
+            got = np.bitwise_count(ngram_join._folded([x], size) ^ ngram_join._folded([y], size)).sum()
+            true = len(np.setxor1d(s, t))
+            assert got <= true and (true > n // 4 or got >= 0.6 * true)
+
+
 def test_last_round_leaves_out_nothing(spark, monkeypatch):
     # a tile of more than 1,024 classes whose sketches tell nothing
     monkeypatch.setattr(ngram_join, "TILE", 2048)
