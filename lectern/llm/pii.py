@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bloom as filters
 from .kernel import LOWER, signed, slices, words
-from .shared import keep
+from .shared import cut, id_and_text, keep, passing, row_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -55,7 +55,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
                 out.append((at - size, 0, m.end()))
                 low = m.end()
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -84,16 +84,18 @@ def _lower(text: str) -> str:
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
-_FOUND = f"doc_id long, spans {_SPAN}, near array<struct<entity:long,context:long,term:string,hash:long>>"
+_NEAR = "array<struct<entity:long,context:long,term:string,hash:long,pair:long,one:long>>"
+_FOUND = f"doc_id long, row long, spans {_SPAN}, near {_NEAR}"
 
 
 def _scan(docs: DataFrame, near: int, least: int) -> DataFrame:
-    """(doc_id, spans, near): near has the words within ``near`` words of each span, of at least ``least`` characters."""
+    """(doc_id, row, spans, near): near has the words within ``near`` words of each span, of at least ``least`` characters; pair
+    is 1 at one place of each (term, entity) of a document, one at one place of each entity."""
     reach = 40 * near
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-        near_type = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("hash", pa.int64())]))
+        near_type = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("hash", pa.int64()), ("pair", pa.int64()), ("one", pa.int64())]))
         for b in batches:
             spans, nears = [], []
             for x in b["text"]:
@@ -113,19 +115,24 @@ def _scan(docs: DataFrame, near: int, least: int) -> DataFrame:
                             seen[k, value, context, t] = None
                 if seen:
                     hashes = _term_hashes([t for *_, t in seen]).tolist()
-                    nears.append([{"entity": _hash64(f"{k}:{v}"), "context": c, "term": t, "hash": h} for (k, v, c, t), h in zip(seen, hashes, strict=True)])
+                    pairs, ones, told = set(), set(), []
+                    for (k, v, c, t), h in zip(seen, hashes, strict=True):
+                        told.append({"entity": _hash64(f"{k}:{v}"), "context": c, "term": t, "hash": h, "pair": int((k, v, t) not in pairs), "one": int((k, v) not in ones)})
+                        pairs.add((k, v, t))
+                        ones.add((k, v))
+                    nears.append(told)
                 else:
                     nears.append([])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(spans, span_type), pa.array(nears, near_type)], names=["doc_id", "spans", "near"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(spans, span_type), pa.array(nears, near_type)], names=["doc_id", "row", "spans", "near"])
 
-    return docs.select("doc_id", "text").mapInArrow(scanned, _FOUND)
+    return docs.select("doc_id", "row", "text").mapInArrow(scanned, _FOUND)
 
 
 def _occurrences(docs: DataFrame, bloom: np.ndarray, count: bool) -> DataFrame:
-    """Of the words that the filter lets pass: (hash, n) with n documents of a batch if ``count``, else (doc_id, hash,
+    """Of the words that the filter lets pass: (hash, n) with n documents of a batch if ``count``, else (row, hash,
     term, start, end) of each, in code points."""
     send = docs.sparkSession.sparkContext.broadcast(bloom if bloom.any() else None)
-    names = ["hash", "n"] if count else ["doc_id", "hash", "term", "start", "end"]
+    names = ["hash", "n"] if count else ["row", "hash", "term", "start", "end"]
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = send.value
@@ -145,20 +152,19 @@ def _occurrences(docs: DataFrame, bloom: np.ndarray, count: bool) -> DataFrame:
                     points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
                     first = points[at[row]]
                     yield pa.RecordBatch.from_arrays(
-                        [b["doc_id"].slice(low, high - low).take(pa.array(row)), pa.array(h), pa.array([LOWER[raw[i:j]].tobytes().decode("utf-8", "replace") for i, j in zip(start, end, strict=True)]), pa.array(points[start] - first, pa.int32()), pa.array(points[end] - first, pa.int32())],
+                        [b["row"].slice(low, high - low).take(pa.array(row)), pa.array(h), pa.array([LOWER[raw[i:j]].tobytes().decode("utf-8", "replace") for i, j in zip(start, end, strict=True)]), pa.array(points[start] - first, pa.int32()), pa.array(points[end] - first, pa.int32())],
                         names=names,
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(scanned, "hash long, n long" if count else "doc_id long, hash long, term string, start int, end int")
+    return docs.select("row", "text").mapInArrow(scanned, "hash long, n long" if count else "row long, hash long, term string, start int, end int")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, bits: float = 4.0, share: float = 0.8, contexts: int = 3) -> DataFrame:
     """(term, hash): words whose disclosure of some entity is at least ``bits`` and ``share``, from ``contexts`` different neighbourhoods or more."""
-    near = found.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*")
-    each = near.groupBy("term", "hash", "entity", "context").agg(F.max("doc_id").alias("any"))
-    wide = each.groupBy("term", "hash", "entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= contexts)
-    both = keep(near.select("doc_id", "term", "hash", "entity").distinct().join(wide, ["term", "hash", "entity"]).groupBy("term", "hash", "entity").agg(F.count("*").alias("n_both")))
-    n_entity = near.select("doc_id", "entity").distinct().join(both.select("entity").distinct(), "entity").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near = found.select(F.explode("near").alias("x")).select("x.*")
+    each = near.groupBy("term", "hash", "entity", "context").agg(F.sum("pair").alias("n"))
+    both = keep(each.groupBy("term", "hash", "entity").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both")).where(F.col("contexts") >= contexts).drop("contexts"))
+    n_entity = near.groupBy("entity").agg(F.sum("one").alias("n_entity")).join(both.select("entity").distinct(), "entity", "left_semi")
     n_term = _occurrences(docs, filters.build(both.select("hash").distinct()), True).groupBy("hash").agg(F.sum("n").alias("n_term"))
     total = docs.count()
     told = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
@@ -166,20 +172,21 @@ def disclosing(docs: DataFrame, found: DataFrame, bits: float = 4.0, share: floa
 
 
 def spans(docs: DataFrame, near: int = 5, least: int = 4, bits: float = 4.0, share: float = 0.8, contexts: int = 3) -> DataFrame:
-    """(doc_id, base, spans), one row per document: arrays of (start, kind, end) in code points, sorted; ``spans`` adds the
-    disclosing terms. Null and empty texts have none. doc_id is taken to be a key; extra columns are ignored; no rows
-    give no rows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, row, base, spans), one row per row of (doc_id, row, text): arrays of (start, kind, end) in code points,
+    sorted; ``spans`` adds the disclosing terms. Null and empty texts have none. A row is known by its doc_id and text
+    together, so null and repeated doc_ids make no difference; no rows give no rows."""
     found = keep(_scan(docs, near, least))
     terms = disclosing(docs, found, bits, share, contexts)
-    more = _occurrences(docs, filters.build(terms), False).join(terms, ["term", "hash"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))
-    every = F.array_sort(F.concat("spans", F.array_distinct(F.coalesce("terms", F.array().cast(_SPAN)))))
-    return found.join(more, "doc_id", "left").select("doc_id", F.col("spans").alias("base"), every.alias("spans"))
+    more = _occurrences(docs, filters.build(terms), False).join(terms, ["term", "hash"]).groupBy("row").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms"))
+    every = F.array_sort(F.concat("spans", F.coalesce("terms", F.array().cast(_SPAN))))
+    return found.join(more, "row", "left").select("doc_id", "row", F.col("spans").alias("base"), every.alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (as ``kind:start:end``, comma-joined), n_term."""
-    s = spans(docs)
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (as ``kind:start:end``, comma-joined), n_term.
+
+    One row per row of ``docs``. Null and empty texts have no spans; extra columns are ignored; no rows give no rows."""
+    s = spans(id_and_text(docs))
     names = F.array(*map(F.lit, KINDS))
 
     def joined(c: str):
@@ -194,9 +201,9 @@ def report(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of text replaced by its kind, as [EMAIL]; overlapping spans by the first one's. n_chars,
     if there is one, is counted anew where the text has changed; other columns, and texts without spans, are unchanged.
-    A row is known by its doc_id and text together, so null and repeated doc_ids make no difference."""
-    row = F.xxhash64("doc_id", "text")
-    s = spans(docs.select(row.alias("doc_id"), "text")).where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    Rows that repeat a doc_id or have none are rows of their own. Columns may have any names; no rows give no rows. Only
+    rows with spans (and what a filter takes for one) are shuffled."""
+    found = cut(spans(id_and_text(docs)).where(F.size("spans") > 0).groupBy(F.col("row").alias("key")).agg(F.first("spans").alias("spans")))
 
     @F.pandas_udf("string")
     def masked(text, spans):
@@ -215,9 +222,13 @@ def sanitised(docs: DataFrame) -> DataFrame:
             out.append("".join(parts) + t[low:])
         return pd.Series(out, dtype=object)
 
-    joined = docs.withColumn("_row", row).join(s, F.col("_row") == F.col("_id"), "left")
-    new = {"text": F.when(F.col("_id").isNotNull(), masked("text", "_spans")).otherwise(F.col("text"))}
-    out = joined.withColumns(new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_id").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), row_key().alias("row"))
+    may = passing(found, "key", F.col("row"))
+    hit = whole.where(may).join(found, F.col("row") == F.col("key"), "left").withColumn("new", masked("whole.text", "spans"))
+    told = F.col("key").isNotNull()
+    values = {c: F.col(f"whole.`{c}`") for c in docs.columns}
+    if "text" in values:
+        values["text"] = F.when(told, F.col("new")).otherwise(values["text"])
+    if "n_chars" in values:
+        values["n_chars"] = F.when(told, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(values["n_chars"])
+    return whole.where(~may).select("whole.*").unionByName(hit.select(*(v.alias(c) for c, v in values.items())))

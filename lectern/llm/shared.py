@@ -88,7 +88,7 @@ def one_of_each(docs: DataFrame, members: DataFrame) -> DataFrame:
     same doc_id and text that stay, the one whose values hash lowest does. Rows that aren't members stay. Only the members
     (and what a filter takes for one) are shuffled.
     """
-    members = keep(members.select(F.col("row").alias("m"), F.col("doc_id").alias("i"), "stays").distinct())
+    members = cut(members.select(F.col("row").alias("m"), F.col("doc_id").alias("i"), "stays").distinct())
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     may = passing(members.select("m"), "m", F.col("row"))
     told = whole.where(may).join(members, (F.col("row") == F.col("m")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
