@@ -186,7 +186,7 @@ select doc_id, string_agg(msg, chr(10) order by a, b, c) errors from er where do
     "upload_dedup": "with d as (select doc_id artifact_id, sha256(text) h from documents) select artifact_id, min(artifact_id) over (partition by h) upload_id, artifact_id <> min(artifact_id) over (partition by h) reused, h || case when artifact_id % 2 = 0 then '.jpg' else '.png' end file from d",
     "export_rows": _I + r""",
 q as (select l_orderkey doc_id, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))::int n, l_partkey p from lineitem),
-f as (select *, count(*) over (partition by doc_id) cnt from q where n <= 4)
+f as (select *, count(*) over (partition by doc_id) cnt from q)
 select f.doc_id, n sequence_number, n::varchar question_no, case when p % 5 < 4 then 'Section ' || (p % 5) else '' end section, 'objective_single_choice' question_type, ['easy', '', 'hard'][n % 3 + 1] difficulty_level,
   trim(concat_ws(chr(10), case when p % 19 = 0 and p % 2 = 0 then 'passage ' || (p % 4) || chr(10) end, case when p % 13 = 0 then '[IMAGE QUESTION — IMAGE REQUIRED: this question''s content/options are graphical and were not extracted. Review the source PDF manually.]' || chr(10) end, case when p % 17 = 0 then '' else 'stem ' || p end), ' ' || chr(10)) question_text,
   case when f.doc_id % 2 <> 0 then '' when 12 % cnt = 0 then (12 // cnt)::varchar else (12 / cnt)::varchar end marks, case when f.doc_id % 3 = 0 then '0.25' else '0' end negative_marks,
@@ -199,7 +199,7 @@ with q as (select l_orderkey doc_id, l_linenumber number, l_partkey p, case when
 f as (select *, ans = '' noans, (p % 17 = 0) or (p % 13 = 0) or (p % 11 < 4) or ans = 'E' or (p % 19 = 0 and p % 2 = 1) or (p % 31 = 0) or (p % 3 = 0 and p % 100 < 60) low from q),
 g as (select doc_id, count(*) filter (low) + count(*) filter (noans) review, count(*) filter (ans = 'E') bad, count(*) - count(distinct number) dup, max(number) - min(number) + 1 - count(distinct number) gap from f group by 1)
 select doc_id, case when bad > 0 or dup > 0 then 'blocked' when review > 0 or gap > 0 then 'warn' else 'clean' end state, bad = 0 and dup = 0 and doc_id % 10 <> 0 exported, (review > 0)::int warnings from g""",
-    "workbook_files": "select l_orderkey doc_id, 'exam' || l_orderkey || case when l_orderkey % 20 = 0 then '_Paper_1' else '' end || '_question_bank.xlsx' file_name, count(*)::int n_rows from lineitem where l_orderkey % 10 = 0 group by 1",
+    "workbook_files": "select l_orderkey doc_id, 'exam' || l_orderkey || case when l_orderkey % 20 = 0 then '_Paper_1' else '' end || '_question_bank.xlsx' file_name, count(*)::int n_rows from lineitem group by 1",
     "upload_answers": "select event_id, case event_id % 4 when 0 then 'u' || event_id when 1 then 'd' || event_id end url from events",
     "typed_schemes": """select c_custkey, (case when c_custkey % 3 = 0 then 120 else 100 end)::double maximum_marks, case when c_custkey % 4 = 0 then null else 2::double end marks_per_question, case when c_custkey % 5 = 0 then 0.5::double end negative_marks,
   case when c_custkey % 3 = 0 then 'manual' else 'pdf' end max_source, case when c_custkey % 4 = 0 then 'not_specified' else 'derived' end per_source, case when c_custkey % 5 = 0 then 'manual' else 'not_specified' end negative_source,
