@@ -76,7 +76,7 @@ def _hashed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
                         p = part.take(pa.array(rows))
                         yield pa.RecordBatch.from_arrays([p["id"], p["vector"], p["dimension"], pa.array(got.ravel() * tables + t, pa.int64())], names=["id", "vector", "dimension", "place"])
 
-    return vectors.mapInArrow(hashed, "id long, vector array<float>, dimension int, place long")
+    return vectors.mapInArrow(hashed, f"id long, vector {vectors.schema['vector'].dataType.simpleString()}, dimension int, place long")
 
 
 def _ranked(k: int):
@@ -118,28 +118,40 @@ def _ranked(k: int):
     return ranked
 
 
+def _found(vectors: DataFrame, queries: DataFrame, k: int, tables: int, probes: int) -> DataFrame:
+    """(query_id, vec_id, score) of what the queries meet in their buckets, the nearest ``k`` of each block."""
+    first = Window.partitionBy("vector").orderBy("id")
+    indexed = keep(_hashed(vectors.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r"), tables, 1))
+    asked = keep(_hashed(queries, tables, probes))
+    sizes = indexed.groupBy("dimension", "place").agg(F.ceil(F.count("*") / BLOCK).alias("salts")).join(asked.groupBy("dimension", "place").agg(F.ceil(F.count("*") / QUERIES).alias("query_salts")), ["dimension", "place"])
+    zero = F.lit(0).cast("long")
+    left = indexed.join(sizes, ["dimension", "place"]).select("id", "vector", "dimension", "place", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.explode(F.sequence(zero, F.col("query_salts") - 1)).alias("query_salt"), F.lit(False).alias("asks"))
+    right = asked.join(sizes, ["dimension", "place"]).select("id", "vector", "dimension", "place", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("id"), F.col("query_salts")).alias("query_salt"), F.lit(True).alias("asks"))
+    blocks = left.unionByName(right).repartition("dimension", "place", "salt", "query_salt").sortWithinPartitions("dimension", "place", "salt", "query_salt", F.desc("asks"))
+    return blocks.mapInArrow(_ranked(k), "query_id long, vec_id long, score double")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found, by Euclidean distance and then the smaller vec_id.
 
-    vectors, queries: (vec_id, embedding); a query isn't its own neighbour. Vectors that are null, empty, zero or hold a
-    null or non-finite component take no part; of two dimensions, neither finds the other. vec_id is taken to be a key;
-    extra columns are ignored; no queries or no vectors give no rows.
+    vectors, queries: (vec_id, embedding), of any numeric type; distances are those of the values in double precision. A query
+    isn't its own neighbour. Vectors that are null, empty, zero or hold a null or non-finite component take no part; of two
+    dimensions, neither finds the other. A query that finds fewer than k in its buckets is asked again in all of them, so
+    it gets k, or all candidates. vec_id is taken to be a key; extra columns are ignored; no queries or no vectors give
+    no rows.
     """
+    single = all(df.schema["embedding"].dataType.simpleString() == "array<float>" for df in (vectors, queries))
 
     def clean(df: DataFrame) -> DataFrame:
-        v = df.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("vector"))
+        v = df.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("vector"))
         ok = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
         return v.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(ok).withColumn("dimension", F.size("vector"))
 
-    first = Window.partitionBy("vector").orderBy("id")
-    indexed = _hashed(clean(vectors).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r"), tables, 1)
-    asked = _hashed(clean(queries), tables, probes)
-    indexed, asked = keep(indexed), keep(asked)
-    sizes = indexed.groupBy("dimension", "place").agg(F.ceil(F.count("*") / BLOCK).alias("salts")).join(asked.groupBy("dimension", "place").agg(F.ceil(F.count("*") / QUERIES).alias("query_salts")), ["dimension", "place"])
-    zero = F.lit(0).cast("long")
-    left = indexed.join(sizes, ["dimension", "place"]).select("id", "vector", "dimension", "place", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.explode(F.sequence(zero, F.col("query_salts") - 1)).alias("query_salt"), F.lit(False).alias("asks"))
-    right = asked.join(sizes, ["dimension", "place"]).select("id", "vector", "dimension", "place", F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt"), F.pmod(F.xxhash64("id"), F.col("query_salts")).alias("query_salt"), F.lit(True).alias("asks"))
-    blocks = left.unionByName(right).repartition("dimension", "place", "salt", "query_salt").sortWithinPartitions("dimension", "place", "salt", "query_salt", F.desc("asks"))
-    found = blocks.mapInArrow(_ranked(k), "query_id long, vec_id long, score double")
+    index, asked = clean(vectors), clean(queries)
+    found = keep(_found(index, asked, k, tables, probes).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = keep(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"))
+    if not short.isEmpty():
+        found = found.unionByName(_found(index, short, k, 1, 1 << 30)).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernel import give_back
 from .shared import id_and_text, keep, one_of_each, passing
 
 #: The polynomial's two moduli and bases, and bytes to a chunk.
@@ -105,6 +106,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[2].append(len(raw) - int(np.count_nonzero((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80)))
             out[3].append(hashlib.sha256(flat).digest())
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], *(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.binary())], names=["doc_id", "row", "fp", "bytes", "points", "sha"])
+        give_back()
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

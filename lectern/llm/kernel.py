@@ -6,12 +6,14 @@ No function here loops over bytes or words in Python. A column is cut into slice
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -46,6 +48,20 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns what a worker no longer uses to the system, as workers of one machine share its memory and outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past the last row, bytes, offsets into them) of consecutive slices; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -67,6 +83,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         high = min(high, n)
         yield low, high, raw[at[low] : at[high]], at[low : high + 1] - at[low]
         low = high
+    give_back()
 
 
 def words(raw: np.ndarray, at: np.ndarray, lower: bool = True, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

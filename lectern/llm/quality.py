@@ -4,7 +4,7 @@
    pattern, so what EM sees is at most 3**len(LABELLERS) counts over the whole corpus.
 2. EM estimates, without labels, each labeller's rates of voting on good and on bad texts, and so the posterior of each
    pattern.
-3. The posteriors label a bounded sample of documents (SAMPLE, by the hash of doc_id), from which a logistic scorer over
+3. The posteriors label a bounded sample of documents (SAMPLE, by the hash of doc_id and text), from which a logistic scorer over
    hashed word shapes is trained. It scores every whole text.
 """
 
@@ -129,7 +129,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     if not total:
         return np.zeros(DIMENSIONS), 0.0
     part = min(1.0, 0.9 * sample / total)
-    marked = docs.select("text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).alias("in"))
+    # by id and text, so that rows without an id are sampled like others; equal texts give one row below
+    marked = docs.select("text", (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).alias("in"))
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,7 +146,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
 
     counted = marked.mapInArrow(voted, "pattern long, n long, x binary").groupBy("pattern", "x").agg(F.sum("n").alias("n")).collect()
     posterior = estimate({k: sum(r["n"] for r in counted if r["x"] is None and r["pattern"] == k) for k in {r["pattern"] for r in counted}})
-    chosen = [r for r in counted if r["x"] is not None][:sample]
+    chosen = sorted((r for r in counted if r["x"] is not None), key=lambda r: (r["x"], r["pattern"]))[:sample]
     if not chosen:
         return np.zeros(DIMENSIONS), 0.0
     return _train(np.stack([np.frombuffer(r["x"], np.float32) for r in chosen]), np.array([posterior[r["pattern"]] for r in chosen]))
@@ -158,14 +159,15 @@ def _scorer(docs: DataFrame, weights: np.ndarray, bias: float):
         w, b = model.value
         out = [1 / (1 + np.exp(-np.clip(features(raw, at)[1] @ w + b, -40, 40))) for _, _, raw, at in slices(column)]
         s = np.concatenate(out) if out else np.zeros(0)
-        blank = np.concatenate([np.add.reduceat(np.append(~IS_SPACE[raw], False), at[:-1]) == 0 if len(raw) else np.ones(len(at) - 1, bool) for _, _, raw, at in slices(column)]) if out else np.zeros(0, bool)
+        blank = np.concatenate([np.diff(np.append(0, np.cumsum(~IS_SPACE[raw]))[at]) == 0 for _, _, raw, at in slices(column)]) if out else np.zeros(0, bool)
         return np.where(blank, 0.0, s)
 
     return score
 
 
 def scores(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, score (0 to 1, of good), keep (score >= LEAST). Null, empty and blank texts score 0; extra columns are ignored; no rows give no rows."""
+    """doc_id, score (0 to 1, of good), keep (score >= LEAST). Null, empty and blank texts score 0; rows with null or
+    repeated doc_ids are rows of their own, and equal texts score the same; extra columns are ignored; no rows give no rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     score = _scorer(docs, *fit(docs, sample))
 
@@ -177,7 +179,10 @@ def scores(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows whose text the scorer rejects; all columns, unchanged, without a shuffle."""
+    """``docs`` without the rows whose text the scorer rejects; all columns, unchanged, without a shuffle.
+
+    Null, empty and blank texts are rejected. Rows with null or repeated doc_ids are rows of their own; columns may have
+    any names; no rows give no rows."""
     score = _scorer(docs, *fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sample))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

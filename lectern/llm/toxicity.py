@@ -3,6 +3,10 @@
 Labelled texts that name a group of people are paired with a copy in which the name is swapped for another of its kind.
 The logistic loss carries a penalty on the square of the score's change between the two, so a neutral mention of a group
 doesn't raise a score. Inputs are only the words of the text and their first letters.
+
+Names come from a list (IDENTITIES) and from the labelled texts themselves: their most frequent words whose share of toxic
+texts is that of all (``neutral``) say nothing about toxicity, so a word and the next in frequency stand in for one another
+as two names of one kind do. That carries the penalty to corpora and languages that the list doesn't know.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import BYTE_VALUES, LOWER, mix, slices, words
-from .pii import PARTS
+from .pii import _WORD, PARTS, _lower
+from .shared import keep
 
 #: Labelled documents to train on at most, log2 of the hashed dimensions, features kept, and the least score of a toxic text.
 SAMPLE, DIMENSIONS, KEPT, THRESHOLD = 8000, 18, 1500, 0.3
@@ -32,6 +37,8 @@ IDENTITIES = (
     ("immigrants", "foreigners", "natives", "citizens"),
 )
 _PREFIXES = (4, 5)
+#: Neutral words at most, the least share of texts that hold one, and the largest deviation of its toxic share, in standard errors.
+NEUTRAL, SPREAD, DEVIATION = 64, 0.02, 1.0
 
 
 def _hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,14 +68,25 @@ def dimensions(text: str) -> np.ndarray:
 
 
 def swapped(text: str, names: tuple[tuple[str, ...], ...] = IDENTITIES) -> str | None:
-    """``text`` with each group name replaced by the next of its kind; None if it names no group."""
-    import re
-
+    """``text`` with each name replaced by the next of its kind; None if it has none."""
     following = {a: b for kind in names for a, b in zip(kind, kind[1:] + kind[:1], strict=True)}
-    new, n = re.subn(r"[A-Za-z]+", lambda m: following.get(m[0].lower(), m[0]), text)
+    new, n = _WORD.subn(lambda m: following.get(_lower(m[0]), m[0]), text)
     return new if n and new != text else None
 
 
+def neutral(texts: DataFrame, most: int = NEUTRAL) -> tuple[tuple[str, ...], ...]:
+    """Pairs of words of (text, _toxic), at most ``most`` words: the most frequent ones that both kinds of text hold alike."""
+    words_of = F.array_distinct(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-/:-@\[-`{-\x7f]+"))
+    total = texts.agg(F.count("*").alias("n"), F.sum("_toxic").alias("t")).first()
+    rate = (total["t"] or 0.0) / max(1, total["n"])
+    if not 0 < rate < 1:
+        return ()
+    count = texts.select("_toxic", F.explode(words_of).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("_toxic").alias("t"))
+    alike = F.abs(F.col("t") - F.col("n") * rate) <= DEVIATION * F.sqrt(F.col("n") * rate * (1 - rate))
+    found = [r["word"] for r in count.where(alike & (F.length("word") > 1) & (F.col("n") >= SPREAD * total["n"])).orderBy(F.desc("n"), "word").limit(most).collect()]
+    return tuple(zip(found[::2], found[1::2], strict=False))
+
+
 def train(texts: list[np.ndarray], others: list[np.ndarray | None], toxic: np.ndarray, pull: float = 1.0, ridge: float = 2e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights of all hashed dimensions and a bias.
 
@@ -121,26 +139,29 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pull: float = 1.0) -> tuple[np.ndarray, float]:
     """Trains on at most ``sample`` labelled rows (by the hash of doc_id) that aren't held out. The sample's ids, which
-    are bounded, are broadcast; each sampled text comes to the driver as its distinct hashed words."""
+    are bounded, are broadcast; each sampled text comes to the driver as its distinct hashed words. Of a repeated doc_id the
+    smallest text counts, and it is toxic if any of its labels says so."""
     usable = labels.where("toxic is not null and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("double").alias("_toxic")).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("text", "_toxic")
+    texts = keep(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("_toxic")))
+    names = IDENTITIES + neutral(texts)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, others = [], []
             for t in b["text"].to_pylist():
-                other = swapped(t or "")
+                other = swapped(t or "", names)
                 rows.append(dimensions(t or "").astype(np.int32).tobytes())
                 others.append(None if other is None else dimensions(other).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(others, pa.binary()), b["_toxic"]], names=["x", "other", "toxic"])
 
-    got = texts.mapInArrow(hashed, "x binary, other binary, toxic double").toArrow()
+    got = texts.select("text", "_toxic").mapInArrow(hashed, "x binary, other binary, toxic double").toArrow()
+    texts.unpersist()
     decode = lambda v: None if v is None else np.frombuffer(v, np.int32).astype(np.int64)
     rows = sorted(zip(got["x"].to_pylist(), got["other"].to_pylist(), got["toxic"].to_pylist(), strict=True), key=lambda r: (r[0], r[2]))
-    return train([decode(r[0]) for r in rows], [decode(r[1]) for r in rows], np.array([r[2] for r in rows]))
+    return train([decode(r[0]) for r in rows], [decode(r[1]) for r in rows], np.array([r[2] for r in rows]), pull)
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -148,7 +169,7 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
     A text's score is the logistic of the weights of its distinct words and word beginnings; a null, empty or blank text
     has the score of no words. Rows with null labels are no labels; extra columns are ignored; no rows give no rows;
-    without labels of both kinds every score is the same.
+    without labels of both kinds every score is the same. Rows with null or repeated doc_ids are rows of their own.
     """
     weights, bias = fit(docs, labels, sample)
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))

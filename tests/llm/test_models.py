@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from lectern.llm import ann, bloom, pii, quality, toxicity
 
 AWKWARD = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "y" * 200_000), (6, "a b c"), (7, "a b c")]
@@ -151,6 +153,43 @@ def test_estimate():
     assert ((np.array([post[x] for x in p]) >= 0.5) == good).mean() > 0.95
 
 
+def test_quality_by_brute_force(spark):
+    # features text by text, all patterns counted, EM and the scorer in plain Python against the distributed run
+    from collections import Counter
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()] + [(None, "no id " * 9), (None, None), (5, "again and again " * 5), (5, "")]
+    told = []
+    for _, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        judged, x = quality.features(raw, np.array([0, len(raw)]))
+        told.append((int(quality.votes(judged)[0]), x[0]))
+    posterior = quality.estimate(Counter(p for p, _ in told))
+    one = {(p, x.tobytes()): (posterior[p], x) for p, x in told}
+    w, b = quality._train(np.stack([x for _, x in one.values()]), np.array([y for y, _ in one.values()]))
+    want = [(str(i), round(0.0 if not (t or "").strip() else 1 / (1 + np.exp(-(x @ w + b))), 3)) for (i, t), (_, x) in zip(rows, told, strict=True)]
+    got = sorted((str(r.doc_id), r.score) for r in quality.scores(frame(spark, rows), sample=100_000).collect())
+    want.sort()
+    far = [(i, s, t) for (i, s), (j, t) in zip(got, want, strict=True) if i != j or abs(s - t) > 2e-3]
+    assert not far, far[:5]
+
+
+def test_counterfactuals_of_the_corpus(spark):
+    # pairs exist in a corpus whose languages the list doesn't know, and the penalty lowers the change of held-out scores
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    x = d.join(labels, "doc_id").where("text is not null and toxic is not null").select("doc_id", "text", F.col("toxic").cast("double").alias("_toxic"))
+    pairs = toxicity.neutral(x)
+    assert len(pairs) > 10 and not {"idiot", "scum", "moron", "trash"} & {w for p in pairs for w in p}
+    held = [r.text for r in x.collect() if toxicity.held_out(r.doc_id)]
+    both = [(toxicity.dimensions(t), toxicity.dimensions(o)) for t in held if (o := toxicity.swapped(t, pairs))]
+    assert len(both) > 50
+    change = {}
+    for pull in (0.0, 1.0):
+        w, b = toxicity.fit(d, labels, pull=pull)
+        change[pull] = np.mean([abs(1 / (1 + np.exp(-w[p].sum() - b)) - 1 / (1 + np.exp(-w[q].sum() - b))) for p, q in both])
+    print("mean change of held-out scores by pull:", change, "pairs:", len(both))
+    assert change[1.0] < 0.7 * change[0.0]
+
+
 def test_toxicity(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     x = toxicity.scores(d, labels).join(labels, "doc_id").toPandas()
@@ -210,6 +249,20 @@ def test_neighbours_awkward(spark):
     assert got[3].score == 0.0 and ann.search(df.limit(0), df).count() == 0 and ann.search(df, df.limit(0)).count() == 0
 
 
+def test_neighbours_in_double_precision_and_tiny_tables(spark):
+    rng = np.random.default_rng(5)
+    for n in (2, 9, 25):
+        x = rng.normal(size=(n, 64))
+        x[0, 0] = 0.1
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.search(df, df).orderBy("query_id", "rank").collect()
+        want = [(q, v) for q in range(n) for v in sorted((v for v in range(n) if v != q), key=lambda v: np.sqrt(((x[q] - x[v]) ** 2).sum()))[:10]]
+        assert [r.query_id for r in got] == [q for q, _ in want] and (n > 11 or [(r.query_id, r.vec_id) for r in got] == want)
+        assert all(abs(r.score - np.sqrt(((x[r.query_id] - x[r.vec_id]) ** 2).sum())) < 1e-12 for r in got)
+    far = spark.createDataFrame([(1, [1e39, 0.0]), (2, [1e39, 1e38])], "vec_id long, embedding array<double>")
+    assert [r.score for r in ann.search(far, far).collect()] == [1e38, 1e38]
+
+
 def test_hadamard():
     h = np.array([[1.0]])
     for _ in range(4):
