@@ -109,11 +109,11 @@ def latest_images(images: DataFrame, key: list[str]) -> DataFrame:
     return images.withColumn("_n", F.row_number().over(w)).where("_n = 1 and status <> 'cleared'").drop("_n")
 
 
-def confirmed(candidates: DataFrame, seq: int) -> DataFrame:
+def confirmed(candidates: DataFrame, seq: int, order: str = "candidate_no") -> DataFrame:
     """Accepted candidates with what the upload gave, as image rows: failed without a URL; an ambiguous destination isn't
-    one. They come after all images up to ``seq``."""
+    one. They come after all images up to ``seq``, by their own numbers in ``order``, so a repeated task numbers them alike."""
     rows = candidates.where(F.col("destination").isin(*DESTINATIONS))
-    return rows.withColumn("status", F.when(F.coalesce("image_url", F.lit("")) != "", "uploaded").otherwise("failed")).withColumn("image_seq", F.lit(seq) + F.monotonically_increasing_id())
+    return rows.withColumn("status", F.when(F.coalesce("image_url", F.lit("")) != "", "uploaded").otherwise("failed")).withColumn("image_seq", F.lit(seq) + F.col(order).cast("long"))
 
 
 def on_page(questions: DataFrame, page: int) -> DataFrame:

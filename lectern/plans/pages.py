@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import pages as ops
+from ..sources.pages import flat_spans
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,27 @@ def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.groupBy("lang").agg(F.count("*").alias("pages"), F.count_if(F.col("method") == "native").alias("native_pages"), F.count_if(F.col("method") == "ocr").alias("ocr_pages"), F.round(F.avg("quality_score"), 6).alias("avg_score"), F.sum("native_chars").alias("chars"))
 
 
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents: pages by method, and method, confidence and score of each page as text; every third turn
+    has nothing of its own and was recognised, with words of known confidence."""
+    t = talk_pages(spark, sf_dir)
+    n, blank = F.col("page_number"), F.col("page_number") % 3 == 0
+    words = F.array(F.lit(90.0), F.lit(-1.0), (n * 10 % 100).cast("double"))
+    pages = t.select("doc_id", "page_number", F.when(~blank, F.col("text")).alias("text"), F.col("text").alias("ocr_text"), ops.word_confidence(words).alias("ocr_word_conf"))
+    s = ops.summary(ops.route(pages))
+    ocr = F.filter("per_page", lambda p: (p["method"] == "ocr") & (p["page_number"] % 3 == 0))
+    return s.select("doc_id", "total_pages", F.size("per_page").cast("long").alias("listed"), (F.col("native_pages") + F.col("ocr_pages")).alias("routed"), F.array_join(F.transform(ocr, lambda p: F.concat(p["page_number"].cast("string"), F.lit(":"), F.round(p["confidence"] * 100).cast("int").cast("string"))), ",").alias("recognised"))
+
+
+def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of nested pages as rows: each conversation a page of a block for each turn, with a line of two spans and one of none."""
+    t = talk_pages(spark, sf_dir)
+    span = lambda text, x: F.struct(text.alias("text"), F.array(x, F.col("page_number"), x + 5, F.col("page_number") + 9).cast("array<double>").alias("bbox"), F.lit(9.0).alias("size"), F.lit("Body").alias("font"))
+    lines = F.array(F.struct(F.array(span(F.col("page_number").cast("string"), F.lit(1)), span(F.length("text").cast("string"), F.lit(8))).alias("spans")), F.struct(F.array().cast("array<struct<text:string,bbox:array<double>,size:double,font:string>>").alias("spans")))
+    nested = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", lines.alias("lines")))), lambda b: F.struct(b["lines"].alias("lines"))).alias("blocks")).withColumn("page_number", F.lit(1))
+    return flat_spans(nested).select("doc_id", "block_no", "line_no", "span_no", "text", "x0", "y0", "x1", "y1")
+
+
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = ops.route(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return routed.select("doc_id", F.round(F.when(F.col("method") == "native", F.col("quality_score")).otherwise(0.0), 3).alias("score"), "method", F.round("confidence", 4).alias("confidence"), F.md5(F.when(F.col("method") == "native", F.col("text")).otherwise("")).alias("text_md5"))
@@ -105,7 +127,7 @@ def marking_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "scheme.total_questions", "scheme.maximum_marks", F.round("scheme.marks_per_question", 6).alias("marks_per_question"), "scheme.negative_marks", F.col("scheme.source.maximum_marks").alias("max_source"), F.col("scheme.source.total_questions").alias("total_source"), F.col("scheme.source.marks_per_question").alias("per_source"), F.col("scheme.source.negative_marks").alias("negative_source"))
 
 
-QUERIES = {f.__name__: f for f in (page_routing, document_scores, page_counts, page_offsets, page_of_middle, page_range_text, ocr_clean_up, paper_spans, pages_in_papers, marking_schemes)}
+QUERIES = {f.__name__: f for f in (page_routing, document_summaries, span_rows, document_scores, page_counts, page_offsets, page_of_middle, page_range_text, ocr_clean_up, paper_spans, pages_in_papers, marking_schemes)}
 
 _TALK = "with p as (select conv_id doc_id, (turn + 1)::int page_number, text from conversations)"
 _SPANS = """
@@ -119,6 +141,9 @@ spans as (select t.doc_id, coalesce(paper_id, 1)::int paper_id, case when paper_
   greatest(coalesce(nxt - 1, total), coalesce(start_page, 1))::int end_page, case when clean = false then 'AMBIGUOUS' else 'OK' end status, coalesce(not clean, false) has_reason from t left join c using (doc_id))
 """
 ORACLES = {
+    "document_summaries": _TALK + " select doc_id, count(*) total_pages, count(*) listed, count(*) routed, coalesce(string_agg(page_number || ':' || (45 + 5 * (page_number % 10)), ',' order by page_number) filter (page_number % 3 = 0), '') recognised from p group by 1",
+    "span_rows": _TALK + """, b as (select *, (row_number() over (partition by doc_id order by page_number) - 1)::int block_no from p)
+select doc_id, block_no, 0 line_no, s span_no, case s when 0 then page_number::varchar else length(text)::varchar end as text, (1 + 7 * s)::double x0, page_number::double y0, (6 + 7 * s)::double x1, (page_number + 9)::double y1 from b, (select unnest([0, 1]) s)""",
     "page_routing": _SCORED + "select lang, count(*) pages, count(*) filter (score >= 0.55) native_pages, count(*) filter (score < 0.55) ocr_pages, round(avg(case when score >= 0.55 then score else 0 end), 6) avg_score, sum(chars)::bigint chars from r group by lang",
     "document_scores": _SCORED + "select doc_id, case when score >= 0.55 then score else 0 end score, case when score >= 0.55 then 'native' else 'ocr' end as \"method\", case when score >= 0.55 then round(least(1, 0.6::double + 0.4::double * score), 4) else 0 end confidence, md5(case when score >= 0.55 then t else '' end) text_md5 from r",
     "page_counts": _SCORED.replace("from documents", "from (select conv_id doc_id, '' lang, text from conversations)") + "select doc_id, count(*) total_pages, count(*) filter (score >= 0.55) native_pages, count(*) filter (score < 0.55) ocr_pages from r group by doc_id",

@@ -68,6 +68,35 @@ def difficulty_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _difficulty(spark, sf_dir)[1].join(papers, "doc_id", "left_semi").select("doc_id", F.array_join("errors", "\n").alias("errors"))
 
 
+def difficulty_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions with the level that the lists settle, blank where none or more than one claims them."""
+    q = order_questions(spark, sf_dir).where("doc_id is not null")
+    return ops.with_difficulty(q, ops.difficulty(_lists(spark, sf_dir), q, KEY)[0], KEY).select("doc_id", "sequence_number", "number", "difficulty_level")
+
+
+def passage_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' questions after their passages were set by events, each for two numbers of its paper."""
+    k = F.col("event_id")
+    both = F.array((k % 7 + 1).cast("int"), (k % 7 + 2).cast("int"))
+    edits = read(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("user_id").alias("doc_id"), *ops.passage_edits(both, F.concat(F.lit("passage "), k), k))
+    q = ops.effective(order_questions(spark, sf_dir).withColumn("passage", F.lit("")), edits, KEY)
+    return q.select("doc_id", "sequence_number", "number", "passage", "modified")
+
+
+def confirmed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands at each destination once events are accepted as candidates: some with an ambiguous destination or without a URL."""
+    k = F.col("event_id")
+    places = F.array(*map(F.lit, (*ops.DESTINATIONS, "ambiguous")))
+    c = read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (k % 6 + 1).cast("int").alias("number"), F.get(places, (k % 7 % 6).cast("int")).alias("destination"), F.when(k % 3 != 0, F.concat(F.lit("http://c/"), k)).alias("image_url"), k.alias("candidate_no"))
+    return ops.latest_images(ops.confirmed(c, 1000), KEY).select("doc_id", "number", "destination", "status", "image_url", "image_seq")
+
+
+def page_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of each paper's third page, four to a page."""
+    q = order_questions(spark, sf_dir).withColumn("source_page", F.ceil(F.col("sequence_number") / 4).cast("int"))
+    return ops.on_page(q, 3).select("doc_id", "sequence_number", "number")
+
+
 def event_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     k = F.col("event_id")
@@ -137,7 +166,7 @@ def typed_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("c_custkey", "s.maximum_marks", "s.marks_per_question", "s.negative_marks", F.col("s.source.maximum_marks").alias("max_source"), F.col("s.source.marks_per_question").alias("per_source"), F.col("s.source.negative_marks").alias("negative_source"), marks.caption(F.col("s.maximum_marks"), F.col("d.maximum_marks"), F.lit("pdf")).alias("caption"), "tail")
 
 
-QUERIES = {f.__name__: f for f in (effective_questions, review_counts, difficulty_summary, difficulty_errors, image_columns, unconfirmed_images, upload_dedup, export_rows, workbook_files, exported_papers, upload_answers, typed_schemes)}
+QUERIES = {f.__name__: f for f in (effective_questions, review_counts, difficulty_summary, difficulty_errors, difficulty_applied, passage_edited, confirmed_images, page_questions, image_columns, unconfirmed_images, upload_dedup, export_rows, workbook_files, exported_papers, upload_answers, typed_schemes)}
 
 _O = """
 with o as (select o_custkey doc_id, (row_number() over (partition by o_custkey order by o_orderkey))::int sequence_number, o_orderpriority stem, o_orderstatus section, o_orderkey % 3 <> 0 flagged, o_orderkey % 4 = 0 is_image from orders),
@@ -181,6 +210,13 @@ ORACLES = {
   union all select c_custkey, 3, 0, 0, 'Difficulty (Hard): invalid entry ''x''' from customer where c_custkey % 3 = 0 union all select c_custkey, 3, 1, 0, 'Difficulty (Hard): invalid entry ''7-''' from customer where c_custkey % 3 = 0
   union all select doc_id, 9, num, 0, 'Question ' || num || ' is assigned to both ' || names || ' — remove it from one.' from m where times > 1)
 select doc_id, string_agg(msg, chr(10) order by a, b, c) errors from er where doc_id in (select doc_id from q) group by 1""",
+    "difficulty_applied": _D + "select q.doc_id, q.sequence_number, q.number, coalesce(case when m.times = 1 then m.level end, '') difficulty_level from q left join m on q.doc_id = m.doc_id and q.number = m.num where q.doc_id is not null",
+    "passage_edited": _O + """, e as (select user_id doc_id, unnest([event_id % 7 + 1, event_id % 7 + 2])::int number, event_id s from events where event_type <> 'error'), p as (select doc_id, number, max(s) s from e group by all)
+select q.doc_id, q.sequence_number, q.number, case when p.s is null then '' else 'passage ' || p.s end passage, p.s is not null modified from q left join p on q.doc_id = p.doc_id and q.number = p.number""",
+    "confirmed_images": """with c as (select user_id doc_id, (event_id % 6 + 1)::int number, ['question','option_a','option_b','option_c','option_d','ambiguous'][event_id % 7 % 6 + 1] destination, event_id from events)
+select doc_id, number, destination, case when event_id % 3 <> 0 then 'uploaded' else 'failed' end status, case when event_id % 3 <> 0 then 'http://c/' || event_id end image_url, event_id + 1000 image_seq from c where destination <> 'ambiguous'
+qualify row_number() over (partition by doc_id, number, destination order by event_id desc) = 1""",
+    "page_questions": _O + "select doc_id, sequence_number, number from q where sequence_number between 9 and 12",
     "image_columns": _I + "select * from ic",
     "unconfirmed_images": _I + ", " + _O.strip()[5:] + "select doc_id, sequence_number, number from q where is_image and not exists (select 1 from l where l.doc_id = q.doc_id and l.number = q.number and status = 'uploaded')",
     "upload_dedup": "with d as (select doc_id artifact_id, sha256(text) h from documents) select artifact_id, min(artifact_id) over (partition by h) upload_id, artifact_id <> min(artifact_id) over (partition by h) reused, h || case when artifact_id % 2 = 0 then '.jpg' else '.png' end file from d",
