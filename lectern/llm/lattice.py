@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import keep
+from .shared import keep, small_batches
 from .tokenizer import public
 
 MARK = "▁"
@@ -214,10 +214,10 @@ def dictionary(docs: DataFrame, path: str, count: int = FREQUENT) -> dict[str, b
 
 def encode(docs: DataFrame, path: str | None = None, count: int = FREQUENT) -> DataFrame:
     """doc_id, n_tokens, ids, ids_crc32 (little-endian unsigned 32-bit ids) and decodes (whether decoding the ids gives the
-    text), one row per document, as the library encodes the whole text. Null and empty texts have no ids; extra columns
-    are ignored; no rows give no rows."""
+    text), one row per document, as the library encodes the whole text. Null and empty texts have no ids; rows with null
+    or repeated doc_ids are documents of their own; extra columns are ignored; no rows give no rows."""
     path = path or public("piece_bpe_32k.model")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     send = docs.sparkSession.sparkContext.broadcast(dictionary(docs, path, count))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .tokenizer import encode, public, sentence_ends
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -120,7 +121,8 @@ def pack(docs: DataFrame, size: int = 1024, ranks: str | None = None, vocabulary
     ranks, vocabulary: one byte-level BPE in its two public file forms. A document's ids are those of its text (null:
     empty) and then ``end_id``, so every document has a piece. Order is that of the rows in each input partition; no
     shuffle is made, and a sequence never spans partitions. sequence_id: partition * 2**40 + number, so it is stable when
-    a lost task runs again. Extra columns are ignored; no rows give no rows.
+    a lost task runs again. Rows with null or repeated doc_ids are documents of their own; extra columns are ignored; no
+    rows give no rows.
     """
     ranks, vocabulary = ranks or public("byte_bpe_50k.tiktoken"), vocabulary or public("byte_bpe_50k.json")
 
@@ -143,4 +145,4 @@ def pack(docs: DataFrame, size: int = 1024, ranks: str | None = None, vocabulary
         out.extend(stream.flush(True))
         yield batch()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(packed, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(packed, SCHEMA)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom as filters
-from .kernel import LOWER, signed, slices, words
+from .kernel import LOWER, give_back, signed, slices, words
 from .shared import cut, id_and_text, keep, passing, row_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -124,6 +124,7 @@ def _scan(docs: DataFrame, near: int, least: int) -> DataFrame:
                 else:
                     nears.append([])
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(spans, span_type), pa.array(nears, near_type)], names=["doc_id", "row", "spans", "near"])
+            give_back()
 
     return docs.select("doc_id", "row", "text").mapInArrow(scanned, _FOUND)
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import BYTE_VALUES, IS_SPACE, mix, slices, words
+from .shared import small_batches
 
 #: Documents to train on at most, dimensions of the hashed shapes, and the least score of a good text.
 SAMPLE, DIMENSIONS, LEAST = 4096, 1024, 0.3
@@ -168,7 +169,7 @@ def _scorer(docs: DataFrame, weights: np.ndarray, bias: float):
 def scores(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, score (0 to 1, of good), keep (score >= LEAST). Null, empty and blank texts score 0; rows with null or
     repeated doc_ids are rows of their own, and equal texts score the same; extra columns are ignored; no rows give no rows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     score = _scorer(docs, *fit(docs, sample))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +184,7 @@ def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Null, empty and blank texts are rejected. Rows with null or repeated doc_ids are rows of their own; columns may have
     any names; no rows give no rows."""
-    score = _scorer(docs, *fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sample))
+    score = _scorer(docs, *fit(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sample))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -13,8 +13,8 @@ from pyspark.sql.types import DataType, MapType
 
 from . import bloom
 
-#: Rows of links to a file of a checkpoint.
-ROWS_A_FILE = 200_000
+#: Rows of links to a file of a checkpoint; bytes of an Arrow batch of texts.
+ROWS_A_FILE, BATCH_BYTES = 200_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +56,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, of whose rows Python workers get some BATCH_BYTES at once, however long the texts are. The session's setting is
+    lowered for that, as it counts when a plan runs; a smaller one is left alone."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name, "64m")).lower().rstrip("b")
+    size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1:] in ("k", "m", "g") else int(now)
+    if not 0 < size <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return docs
+
+
 def row_key() -> Column:
     """64 bits that stand for a row's doc_id and text."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
 
 
 def passing(keys: DataFrame, name: str, column: Column) -> Column:
@@ -107,7 +118,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps; each is a map-side combined minimum and an equi-join that adaptive
     execution can split, so a hub with a third of all nodes is no single task. Edges never come to the driver, only a
-    count and a checksum of each round. Self-links and repeated links are allowed; no links give no rows.
+    count and a checksum of each round. Self-links and repeated links are allowed; no links give no rows. Rounds grow with
+    the logarithm of the longest path; should ``rounds`` not be enough, it raises rather than give a part.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = cut(e)

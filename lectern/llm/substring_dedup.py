@@ -3,7 +3,8 @@
 A paragraph here is a sentence or line (longer ones are parted at words picked by content), so a passage put into the
 middle of other text still shares whole paragraphs with its other places. Equal paragraphs are found by a map-side
 combined group-by of their hash. Different ones collide in BANDS bands of ROWS MinHash values over their 5-word shingles:
-at a similarity of 0.8 a pair is missed with probability (1 - 0.8**2)**5 = 0.6 %. Links to one pivot of a bucket are
+at a similarity of exactly 0.8 a pair shares no bucket with probability (1 - 0.8**2)**8 = 0.03 %; what shares one is
+compared. Links to one pivot of a bucket are
 candidates first; then the members of a bucket that these leave in different components are compared with each other, in
 bounded tiles, until nothing is left out. Each link is verified by the exact Jaccard similarity of the texts. Components of
 verified links are classes, and a class's first place stays.
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from . import bloom, ngram_join
 from .kernel import _BASE, _PLACE, _powers, mix, signed, slices, words
-from .shared import components, cut, keep
+from .shared import components, cut, keep, small_batches
 
 K, P, Q = 5, 80, 100
-BANDS, ROWS = 5, 2
+BANDS, ROWS = 8, 2
 #: Words of a paragraph at least; words over which one is parted; words of a reported span at least, and of a gap inside one at most.
 LEAST, LONG, SPAN, GAP = 5, 64, 20, 12
 #: Runs of SPAN words of which the one with the smallest hash is a unit.
@@ -44,7 +45,7 @@ _STOP[[33, 46, 63]] = True
 
 
 def paragraphs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, row, first word in the row, words, first byte, past the last byte, first word in the slice) of each
+    """(hash of 63 bits, row, first word in the row, words, first byte, past the last byte, first word in the slice) of each
     paragraph of LEAST words or more, and all word hashes."""
     h, start, end, row = words(raw, at)
     e = np.zeros(0, np.int64)
@@ -60,7 +61,7 @@ def paragraphs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.append(0, np.flatnonzero(last)[:-1] + 1)
     size = np.diff(np.append(first, len(h)))
     place = np.arange(len(h)) - np.repeat(first, size)
-    u = mix(np.add.reduceat(h * _powers(int(size.max()))[place], first) + size.astype(np.uint64) * _PLACE[3])
+    u = mix(np.add.reduceat(h * _powers(int(size.max()))[place], first) + size.astype(np.uint64) * _PLACE[3]) >> np.uint64(1)
     m = size >= LEAST
     u, first, size = u[m], first[m], size[m]
     base = np.searchsorted(row, row[first])
@@ -99,7 +100,7 @@ def runs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     m = _sliding(low, WINDOW, np.maximum) == s
     m[1:] &= (s[1:] != s[:-1]) | (row[1:n] != row[: n - 1])
     first = np.flatnonzero(m)
-    return s[first], row[first], first - np.searchsorted(row, row[first]), np.full(len(first), SPAN), start[first], end[first + SPAN - 1]
+    return s[first] >> np.uint64(1), row[first], first - np.searchsorted(row, row[first]), np.full(len(first), SPAN), start[first], end[first + SPAN - 1]
 
 
 def _shingles(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +127,8 @@ def _seen(docs: DataFrame) -> DataFrame:
 
 
 def _banded(docs: DataFrame) -> DataFrame:
-    """(bucket, u) of each different paragraph that another than its equal could be similar to: s / (s + 1) >= P / Q."""
+    """(sig, member): the buckets of each different paragraph that another than its equal could be similar to, s / (s + 1) >= P / Q.
+    member is u less 2**63, which marks it as one that can be a pivot."""
     least = K - 1 + P // (Q - P)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +152,9 @@ def _banded(docs: DataFrame) -> DataFrame:
                     key = np.full(len(u), band + 1, np.uint64)
                     for r in range(ROWS):
                         key = mix(key * _PLACE[5] + np.minimum.reduceat(mix(s ^ _PLACE[20 + band * ROWS + r]), begin))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(u))], names=["bucket", "u"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(u) + np.int64(-(2**63)))], names=["sig", "member"])
 
-    return docs.select("text").mapInArrow(scanned, "bucket long, u long")
+    return docs.select("text").mapInArrow(scanned, "sig long, member long")
 
 
 def _places(docs: DataFrame, repeated: np.ndarray, near: np.ndarray) -> DataFrame:
@@ -204,20 +206,22 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _linked(stars: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, component) of the paragraphs that are linked: those of ``stars`` (bucket, a, b) first, then what these leave apart in one bucket."""
-    links = cut(_similar(stars.select("a", "b").distinct(), texts))
-    belongs = components(links)
-    deep = stars.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("sig"))
-    buckets = cut(ngram_join._buckets(stars.withColumnRenamed("bucket", "sig").join(deep, "sig")))
-    if buckets.isEmpty():
-        return belongs
+    """(node, component) of the paragraphs that are linked: those of ``stars`` (sig, a, b) first, then what these leave apart in
+    one bucket. Sketches go before texts, and no pair is compared twice."""
     sketches = keep(ngram_join._sketches(texts.withColumnRenamed("u", "class"), K))
+    pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    told = cut(ngram_join._plausible(pairs, sketches, P, Q))
+    links = cut(_similar(told, texts))
+    belongs = components(links)
+    buckets = cut(ngram_join._buckets(stars))
     for most in NEAREST:
-        rest = cut(ngram_join._rest(buckets, belongs, sketches, P, Q, most))
+        rest = cut(ngram_join._rest(buckets, belongs, sketches, P, Q, most).join(told, ["a", "b"], "left_anti"))
         if rest.isEmpty():
-            break
+            continue
+        told = told.unionByName(rest)
         links = cut(links.unionByName(_similar(rest, texts)))
         belongs = components(links)
+    sketches.unpersist()
     return belongs
 
 
@@ -228,13 +232,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     a shorter one of SPAN words or more has if it holds that many words of whole paragraphs. start and end are those of
     the outermost units of a passage, which may lie inside it. Documents without one have no row. first_doc_id is the smallest document with a paragraph of the passage; removed
     says whether some of its paragraphs have their first place elsewhere. Only repetition across documents counts. Null,
-    empty and short texts have no rows. doc_id is taken to be a key; extra columns are ignored; no rows give no rows.
+    empty and short texts have no rows. Rows that repeat a doc_id are one document, whose texts don't repeat one another; rows
+    without a doc_id can't be told apart and take no part. Extra columns are ignored; no rows give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     equal = cut(_seen(docs).groupBy("u").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("u"))
-    banded = _banded(docs)
-    pivots = banded.groupBy("bucket").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a < b")
-    stars = cut(banded.join(pivots, "bucket").where("u <> a").select("bucket", "a", F.col("u").alias("b")).distinct())
+    stars = cut(_banded(docs).repartition("sig").sortWithinPartitions("sig", "member").mapInArrow(ngram_join._stars, "sig long, a long, b long").distinct())
     near = stars.select(F.explode(F.array("a", "b")).alias("u")).distinct()
     places = keep(_places(docs, bloom.build(equal, "u"), bloom.build(near, "u")))
     texts = keep(places.where("text is not null").join(near, "u").groupBy("u").agg(F.min("text").alias("text")))

@@ -2,7 +2,7 @@
 
 A token file is ids of fixed width and nothing else; a document ends with the end-of-document id. Files are cut into
 blocks anywhere. Each block is searched for the id by one vectorised comparison; what spans blocks is stitched by a
-prefix scan over (tokens, last separator) of the blocks before, which are a few numbers a block.
+prefix scan over (tokens, separators, last separator) of the blocks before, which are three numbers a block.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import keep, small_batches
 from .tokenizer import encode, public
 
 BLOCK_TOKENS = 1 << 16
@@ -58,7 +59,7 @@ def flat(docs: DataFrame, ranks: str | None = None, vocabulary: str | None = Non
         if size:
             yield batch(np.concatenate(held), [d for _, d in ended])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(written, "file long, block long, data binary, doc_ids array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(written, "file long, block long, data binary, doc_ids array<long>")
 
 
 def counts(parts: DataFrame, end_id: int = 50256, width: int = 2) -> DataFrame:
@@ -66,7 +67,7 @@ def counts(parts: DataFrame, end_id: int = 50256, width: int = 2) -> DataFrame:
     (without the end), ended; further columns of ``parts`` that are arrays with an item for each end, as doc_ids, give that item.
 
     parts: (file, block, data). Ids after a file's last end are one more document, with ended false. Empty files give
-    none; null data counts as an empty block.
+    none; null data counts as an empty block. (file, block) is taken to be a key.
     """
     items = [c for c in parts.columns if c not in ("file", "block", "data")]
     kind = {2: "<u2", 4: "<u4"}[width]
@@ -82,18 +83,23 @@ def counts(parts: DataFrame, end_id: int = 50256, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("file", "block", *items)), pa.array(size, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["file", "block", *items, "size", "ends"])
 
     types = dict(found.dtypes)
-    scanned = found.mapInArrow(searched, ", ".join(f"{c} {types[c]}" for c in ("file", "block", *items)) + ", size long, ends array<long>")
+    # ids are read once; what is kept of them is a number for each end
+    scanned = keep(found.mapInArrow(searched, ", ".join(f"{c} {types[c]}" for c in ("file", "block", *items)) + ", size long, ends array<long>"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum("size").over(before), F.lit(0))
-    placed = scanned.withColumn("base", base).withColumn("last", F.expr("base + try_element_at(ends, -1)"))
-    placed = placed.withColumn("open", F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).withColumn("seen", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-    each = placed.select("file", "base", "open", "seen", "ends", *items, F.posexplode("ends").alias("at", "end"))
+    numbers = scanned.select("file", "block", "size", F.size("ends").alias("n"), F.expr("try_element_at(ends, -1)").alias("end"))
+    placed = numbers.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("last", F.col("base") + F.col("end"))
+    placed = placed.withColumn("open", F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).withColumn("seen", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    each = scanned.where(F.size("ends") > 0).join(placed.where("n > 0").select("file", "block", "base", "open", "seen"), ["file", "block"])
+    each = each.select("file", "base", "open", "seen", "ends", *items, F.posexplode("ends").alias("at", "end"))
     begin = F.when(F.col("at") == 0, F.col("open")).otherwise(F.col("base") + F.expr("element_at(ends, at)") + 1)
     done = each.withColumn("start", begin).select("file", (F.col("seen") + F.col("at")).alias("ordinal"), "start", (F.col("base") + F.col("end") - F.col("start")).alias("n_tokens"), F.lit(True).alias("ended"), *(F.expr(f"get({c}, at)").alias(c) for c in items))
-    tail = placed.groupBy("file").agg(F.sum("size").alias("size"), F.max("last").alias("last"), F.sum(F.size("ends")).alias("ordinal")).withColumn("start", F.coalesce(F.col("last") + 1, F.lit(0))).where("size > start")
+    tail = placed.groupBy("file").agg(F.sum("size").alias("size"), F.max("last").alias("last"), F.sum("n").alias("ordinal")).withColumn("start", F.coalesce(F.col("last") + 1, F.lit(0))).where("size > start")
     return done.unionByName(tail.select("file", "ordinal", "start", (F.col("size") - F.col("start")).alias("n_tokens"), F.lit(False).alias("ended")), allowMissingColumns=True)
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, file, ordinal, start, n_tokens, of the documents written as flat token files; a null text has no tokens; no rows give no rows."""
+    """doc_id, file, ordinal, start, n_tokens, of the documents written as flat token files, one row per row of ``docs``.
+
+    Null and empty texts have no tokens; rows with null or repeated doc_ids are documents of their own; extra columns are
+    ignored; no rows give no rows."""
     return counts(flat(docs)).select(F.col("doc_ids").alias("doc_id"), "file", "ordinal", "start", "n_tokens")

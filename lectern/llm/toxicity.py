@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .kernel import BYTE_VALUES, LOWER, mix, slices, words
 from .pii import _WORD, PARTS, _lower
-from .shared import keep
+from .shared import keep, small_batches
 
 #: Labelled documents to train on at most, log2 of the hashed dimensions, features kept, and the least score of a toxic text.
 SAMPLE, DIMENSIONS, KEPT, THRESHOLD = 8000, 18, 1500, 0.3
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pull: float =
     smallest text counts, and it is toxic if any of its labels says so."""
     usable = labels.where("toxic is not null and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("double").alias("_toxic")).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     chosen = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = keep(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("_toxic")))
+    texts = keep(small_batches(docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("_toxic")))
     names = IDENTITIES + neutral(texts)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,4 +186,4 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
             s = 1 / (1 + np.exp(-np.clip(np.concatenate(out) + b0, -40, 40))) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([held_out(i) for i in b["doc_id"].to_pylist()], pa.bool_()), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
