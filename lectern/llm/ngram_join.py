@@ -11,7 +11,7 @@ its sets have too many, and in the last of LEVELS partitions such sets index the
 Texts with equal sets are one class from the start. Signatures are 8 bytes beside 8 bytes of class. In each bucket only
 links to one pivot become candidates, so the count is linear; what a pivot can't tell, members of one bucket that the
 verified links leave in different components, is compared in tiles of bounded size. All candidates pass parity sketches
-first, as many bits as the set has tokens, whose distance is a lower bound: what is left is nearly all links, so few texts
+first, four bits or more for each token, whose distance is a lower bound: what is left is nearly all links, so few texts
 move. Every link is verified on the whole texts, and no pair twice.
 """
 
@@ -133,8 +133,8 @@ def _rows(names: list[str], *columns) -> pa.RecordBatch:
 
 def sketch(s: np.ndarray) -> bytes:
     """Bit i is the parity of the tokens that hash to i; two sketches differ in no more bits than the sets in tokens. The
-    number of bits is a power of two, of the set's size at least; one with more folds to one with fewer."""
-    bits = max(SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length())
+    number of bits is a power of two, of four times the set's size at least; one with more folds to one with fewer."""
+    bits = max(SKETCH_BITS, 1 << (4 * len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -289,7 +289,7 @@ def _buckets(stars: DataFrame) -> DataFrame:
 
 def _rest(buckets: DataFrame, belongs: DataFrame, sketches: DataFrame, p: int, q: int, most: int | None) -> DataFrame:
     """(a, b): pairs of one bucket in different components that sizes and sketches leave possible; of each member at most
-    the ``most`` nearest by sketch in each tile. ``most`` = None leaves out nothing.
+    the ``most`` nearest by sketch in each tile. ``most`` = None leaves out nothing; a row of -1 says that something was.
     """
     named = buckets.join(belongs.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = named.groupBy("sig").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig", "tiles")
@@ -307,7 +307,7 @@ def _rest(buckets: DataFrame, belongs: DataFrame, sketches: DataFrame, p: int, q
         # by size of the smaller sketch: the members with one of that size or more, and each member's place among them
         levels = {int(x): (_folded([bits[i] for i in at], int(x)), np.searchsorted(at, np.arange(len(cls)))) for x in np.unique(size) for at in [np.flatnonzero(size >= x)]}
         i, j = (np.arange(len(cls)),) * 2 if own else (np.flatnonzero(left), np.flatnonzero(~left))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, short = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
         names, sizes = np.unique(comp, return_counts=True)
         main = names[np.argmax(sizes)]
         # what is outside the largest component against all; within it nothing is left to learn
@@ -322,8 +322,10 @@ def _rest(buckets: DataFrame, belongs: DataFrame, sketches: DataFrame, p: int, q
                 o, far = o[ok], far[ok]
                 if most is not None and len(o) > most:
                     o = o[np.argsort(far, kind="stable")[:most]]
+                    short = True
                 a.append(np.minimum(cls[o], cls[x]))
                 b.append(np.maximum(cls[o], cls[x]))
+        a, b = ([*x, np.full(1, -1)] if short else x for x in (a, b))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return both.groupBy("sig", "t0", "t1").applyInArrow(compared, "a long, b long").distinct()
@@ -348,6 +350,25 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFra
     return both.mapInArrow(kept, "a long, b long")
 
 
+def settled(buckets: DataFrame, told: DataFrame, links: DataFrame, sketches: DataFrame, p: int, q: int, check) -> DataFrame:
+    """(node, component) once no pair of a bucket is open. told: the pairs (a, b) that were checked, of which ``links`` (u, v)
+    held; ``check`` gives the links among further pairs.
+
+    The nearest go first, as what they link needs no further comparison; it ends with a round that left out nothing.
+    """
+    belongs = components(links)
+    for most in NEAREST:
+        found = cut(_rest(buckets, belongs, sketches, p, q, most).join(told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        rest, whole = found.where("a >= 0"), found.where("a < 0").isEmpty()
+        if not rest.isEmpty():
+            told = told.unionByName(rest)
+            links = cut(links.unionByName(check(rest)))
+            belongs = components(links)
+        if whole:
+            break
+    return belongs
+
+
 def _components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(doc_id, row, n, component): of each row of (doc_id, row, text), its set's size and the class that names its component."""
     own = keep(sets(docs, k))
@@ -359,16 +380,7 @@ def _components(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     heads = keep(own.where("n > 0").groupBy("class").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(wanted, "class"))
     told = cut(_plausible(pairs, heads, p, q))
     links = cut(verify(told, heads, docs, k, p, q))
-    belongs = components(links)
-    buckets = cut(_buckets(stars))
-    # the nearest first: what they link needs no further comparison; the last round leaves out nothing
-    for most in NEAREST:
-        rest = cut(_rest(buckets, belongs, heads, p, q, most).join(told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        if rest.isEmpty():
-            continue
-        told = told.unionByName(rest)
-        links = cut(links.unionByName(verify(rest, heads, docs, k, p, q)))
-        belongs = components(links)
+    belongs = settled(cut(_buckets(stars)), told, links, heads, p, q, lambda rest: verify(rest, heads, docs, k, p, q))
     heads.unpersist()
     named = own.where("n > 0").join(belongs.withColumnRenamed("node", "class"), "class", "left")
     return named.select("doc_id", "row", "n", F.coalesce("component", "class").alias("component")).unionByName(own.where("n = 0").select("doc_id", "row", "n", F.lit(None).cast("long").alias("component")))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bloom, ngram_join
 from .kernel import _BASE, _PLACE, _powers, mix, signed, slices, words
-from .shared import components, cut, keep, small_batches
+from .shared import cut, keep, small_batches
 
 K, P, Q = 5, 80, 100
 BANDS, ROWS = 8, 2
@@ -38,8 +38,6 @@ LEAST, LONG, SPAN, GAP = 5, 64, 20, 12
 #: Runs of SPAN words of which the one with the smallest hash is a unit.
 WINDOW = 31
 SEEN = 1 << 20
-#: Of a paragraph, the pairs a tile gives in each round after that of the pivots; None leaves out nothing.
-NEAREST = (1, 16, None)
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
@@ -212,15 +210,7 @@ def _linked(stars: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     told = cut(ngram_join._plausible(pairs, sketches, P, Q))
     links = cut(_similar(told, texts))
-    belongs = components(links)
-    buckets = cut(ngram_join._buckets(stars))
-    for most in NEAREST:
-        rest = cut(ngram_join._rest(buckets, belongs, sketches, P, Q, most).join(told, ["a", "b"], "left_anti"))
-        if rest.isEmpty():
-            continue
-        told = told.unionByName(rest)
-        links = cut(links.unionByName(_similar(rest, texts)))
-        belongs = components(links)
+    belongs = ngram_join.settled(cut(ngram_join._buckets(stars)), told, links, sketches, P, Q, lambda rest: _similar(rest, texts))
     sketches.unpersist()
     return belongs
 
