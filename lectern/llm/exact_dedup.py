@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import give_back
-from .shared import id_and_text, keep, one_of_each, passing
+from .shared import id_and_text, keep, one_of_each, passing, scope
 
 #: The polynomial's two moduli and bases, and bytes to a chunk.
 PRIMES = (2147483629, 2147483587)
@@ -174,5 +174,6 @@ def duplicates(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that another one stands for; all columns, unchanged, whatever their names. One row of each
     group of equal texts stays, also where rows repeat a doc_id, have none, or are the same in every column."""
-    groups = _groups(docs).where("group_size > 1")
-    return one_of_each(docs, groups.select("row", "doc_id", _stays().alias("stays")))
+    with scope():
+        groups = _groups(docs).where("group_size > 1")
+        return one_of_each(docs, groups.select("row", "doc_id", _stays().alias("stays")))

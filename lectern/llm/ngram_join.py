@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import mix, shingle_sets, signed
-from .shared import components, cut, id_and_text, keep, one_of_each, passing, row_key
+from .shared import components, cut, id_and_text, keep, one_of_each, passing, scope
 
 _U = np.uint64
 #: The share of a band's sets that may have more small segments than allowed for.
@@ -407,7 +407,8 @@ def representatives(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> D
     Rows without words stay. A null doc_id stays only where its component has no other; of rows with the same doc_id the
     one with the larger hash of its text stays, and of equal rows one. Columns may have any names; no rows give no rows.
     """
-    named = keep(_components(id_and_text(docs), k, p, q).where("component is not null"))
-    first = named.groupBy("component").agg(F.count("*").alias("size"), F.max(F.struct((-F.col("doc_id")).alias("id"), "row")).alias("best")).where("size > 1")
-    members = named.join(first, "component").select("row", "doc_id", (F.col("doc_id").eqNullSafe(-F.col("best.id")) & (F.col("row") == F.col("best.row"))).alias("stays"))
-    return one_of_each(docs, members)
+    with scope():
+        named = keep(_components(id_and_text(docs), k, p, q).where("component is not null"))
+        first = named.groupBy("component").agg(F.count("*").alias("size"), F.max(F.struct((-F.col("doc_id")).alias("id"), "row")).alias("best")).where("size > 1")
+        members = named.join(first, "component").select("row", "doc_id", (F.col("doc_id").eqNullSafe(-F.col("best.id")) & (F.col("row") == F.col("best.row"))).alias("stays"))
+        return one_of_each(docs, members)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bloom as filters
 from .kernel import LOWER, give_back, signed, slices, words
-from .shared import cut, id_and_text, keep, passing, row_key
+from .shared import cut, id_and_text, keep, passing, row_key, scope
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -204,7 +204,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
     if there is one, is counted anew where the text has changed; other columns, and texts without spans, are unchanged.
     Rows that repeat a doc_id or have none are rows of their own. Columns may have any names; no rows give no rows. Only
     rows with spans (and what a filter takes for one) are shuffled."""
-    found = cut(spans(id_and_text(docs)).where(F.size("spans") > 0).groupBy(F.col("row").alias("key")).agg(F.first("spans").alias("spans")))
+    with scope():
+        found = cut(spans(id_and_text(docs)).where(F.size("spans") > 0).groupBy(F.col("row").alias("key")).agg(F.first("spans").alias("spans")))
 
     @F.pandas_udf("string")
     def masked(text, spans):

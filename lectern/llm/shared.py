@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -21,11 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df``, computed once. What executors lose of it is computed again from its lineage, which is short: a scan or a shuffle."""
+    held = _HELD.get()
+    if held is not None:
+        held.append(df)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """What is kept inside goes at the end; what leaves it must be cut by then."""
+    before = _HELD.set([])
+    try:
+        yield
+    finally:
+        for df in _HELD.get():
+            df.unpersist()
+        _HELD.reset(before)
+
+
 def _folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``, the folder that all machines share. A local session without one (tests) gets a temporary one."""
     sc = spark.sparkContext
