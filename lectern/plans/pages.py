@@ -102,7 +102,7 @@ def header_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paper_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.papers(header_pages(spark, sf_dir)).select("doc_id", "paper_id", "paper_name", "start_page", "end_page", "status", F.length("reason").isNotNull().alias("has_reason"))
+    return ops.papers(header_pages(spark, sf_dir)).select("doc_id", "paper_id", "paper_name", "start_page", "end_page", "status", "reason")
 
 
 def pages_in_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +136,9 @@ h as (select *, sum((k % 4 = 0)::int) over (partition by doc_id order by page) s
 f as (select doc_id, case when doc_id % 5 = 0 then 2 * s else s end paper_id, min(page) start_page from h where k % 4 = 0 group by all),
 t as (select doc_id, count(*) total from o group by 1),
 w as (select *, lead(start_page) over (partition by doc_id order by start_page) nxt, paper_id - row_number() over (partition by doc_id order by start_page) off from f),
-c as (select *, min(off) over (partition by doc_id) = max(off) over (partition by doc_id) clean from w),
+c as (select *, min(off) over (partition by doc_id) = max(off) over (partition by doc_id) clean, array_to_string(list(paper_id) over (partition by doc_id order by start_page rows between unbounded preceding and unbounded following), ', ') seen from w),
 spans as (select t.doc_id, coalesce(paper_id, 1)::int paper_id, case when paper_id is not null then 'Paper ' || paper_id end paper_name, coalesce(start_page, 1)::int start_page,
-  greatest(coalesce(nxt - 1, total), coalesce(start_page, 1))::int end_page, case when clean = false then 'AMBIGUOUS' else 'OK' end status, coalesce(not clean, false) has_reason from t left join c using (doc_id))
+  greatest(coalesce(nxt - 1, total), coalesce(start_page, 1))::int end_page, case when clean = false then 'AMBIGUOUS' else 'OK' end status, case when clean = false then 'paper header numbers appeared out of order or with gaps (saw [' || seen || '] in page order) — boundaries between them cannot be confidently determined' end reason from t left join c using (doc_id))
 """
 ORACLES = {
     "document_summaries": _TALK + " select doc_id, count(*) total_pages, count(*) listed, count(*) routed, coalesce(string_agg(page_number || ':' || (45 + 5 * (page_number % 10)), ',' order by page_number) filter (page_number % 3 = 0), '') recognised from p group by 1",

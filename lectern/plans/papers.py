@@ -130,7 +130,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.search(questions(spark, sf_dir), " STEM 77 ".strip()).select("doc_id", "sequence_number", "number", "stem")
+    return validation.search(questions(spark, sf_dir), "STEM 7").select("doc_id", "sequence_number", "number", "stem")
 
 
 def blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +212,7 @@ select doc_id, 1 paper_id, case when lettered then 'letter' else 'digit' end as
   'Needs review (low confidence): ' || low_confidence, 'Missing answers: ' || missing_answers, 'Missing options: ' || missing_options, 'Duplicate question numbers: ' || len(dup), 'Missing question numbers: ' || len(gap), 'Passage groups: ' || passage_groups || ' (' || passage_questions || ' questions)') report from w""",
     "sections": _Q + "select doc_id, section, count(*) n, (row_number() over (partition by doc_id order by min(sequence_number)))::int place from q group by doc_id, section",
     "passages": _Q + "select doc_id, passage, string_agg(number::varchar, ',' order by number) numbers, (row_number() over (partition by doc_id order by min(sequence_number)))::int place from q where passage is not null group by doc_id, passage",
-    "found_questions": _Q + "select doc_id, sequence_number, number, stem from q where stem like '%stem 77%'",
+    "found_questions": _Q + "select doc_id, sequence_number, number, stem from q where stem like '%stem 7%'",
     "blocking": _Q + r"""select doc_id, concat_ws(chr(10), case when len(dup) > 0 then 'Duplicate question numbers: [' || array_to_string(dup, ', ') || ']' end, string_agg('Q' || number || ': correct answer ''E'' is not A/B/C/D.', chr(10) order by sequence_number) filter (ans = 'E'),
   case when doc_id % 5 = 0 then 'Maximum Marks must be a positive number.' end, case when doc_id % 9 = 0 then 'Negative Marks cannot be negative.' end) errors from v join w using (doc_id) group by doc_id, dup""",
     "latex_fields": _ITEMS + r""" select doc_id, n, case part % 6 when 0 then 'If $x = ' || part || '$, find y.' when 1 then '$\frac{' || part || '}{' || n || '}$' when 2 then '$' || part || ' \times ' || n || ' \le z$' when 3 then 'The area of $r^2h$ and $\sqrt{' || part || '}$ is here.' when 4 then 'Choose part ' || part || ' or A/B first.' else '$' || part || '^2$' end latex, true stable from i""",
