@@ -233,7 +233,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = keep(places.where("text is not null").join(near, "u").groupBy("u").agg(F.min("text").alias("text")))
     belongs = _linked(stars, texts).withColumnRenamed("node", "u")
     known = places.drop("text").join(equal.withColumn("equal", F.lit(True)), "u", "left").join(belongs, "u", "left").where("equal or component is not null").withColumn("class", F.coalesce("component", "u"))
-    first = known.groupBy("class").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
+    # cut, so that the join below has an exchange of its own on both sides and a class of very many places can be split
+    first = cut(known.groupBy("class").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last"))
     found = known.join(first, "class")
     order = Window.partitionBy("doc_id").orderBy("word")
     new = F.coalesce((F.col("word") - F.max(F.col("word") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1)) > GAP).cast("int"), F.lit(1))
