@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
@@ -78,6 +81,32 @@ _PARTS = {
 _NUMBERS = {"Question No", "Marks", "Negative Marks"}
 
 
+def _template() -> tuple[bytes, ...]:
+    """An empty workbook's bytes around what a sheet changes: its checksum and sizes, twice, itself, and the directory's place."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, part in (_PARTS | {"xl/worksheets/sheet1.xml": ""}).items():
+            z.writestr(zipfile.ZipInfo(name), part and _HEAD + part)
+        sheet, directory = z.infolist()[-1].header_offset, z.start_dir
+    raw = out.getvalue()
+    entry, end = raw.rindex(b"PK\x01\x02"), raw.rindex(b"PK\x05\x06")
+    return raw[: sheet + 14], raw[sheet + 26 : directory], raw[directory : entry + 16], raw[entry + 28 : end + 16], raw[end + 20 :]
+
+
+_TEMPLATE = _template()
+_TOP = f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData><row>{"".join(f'<c t="inlineStr"><is><t>{h}</t></is></c>' for h in HEADER)}</row>'
+_BOTTOM = "</sheetData></worksheet>"
+
+
+def packed(rows: str) -> bytes:
+    """A workbook of HEADER and ``rows``, the sheet's row elements. Only the sheet differs from file to file, so the rest is made once."""
+    sheet = f"{_TOP}{rows}{_BOTTOM}".encode()
+    stamp = struct.pack("<LLL", zlib.crc32(sheet), len(sheet), len(sheet))
+    start, named, between, behind, end = _TEMPLATE
+    before = b"".join((start, stamp, named, sheet))
+    return b"".join((before, between, stamp, behind, struct.pack("<L", len(before)), end))
+
+
 def workbook(rows: list[tuple]) -> bytes:
     """A workbook of HEADER and ``rows``. Texts are inline strings, never formulas; numbers are numbers; blanks have no cell."""
 
@@ -86,25 +115,37 @@ def workbook(rows: list[tuple]) -> bytes:
             return f"<c><v>{value}</v></c>"
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>' if value else "<c/>"
 
-    lines = ["".join(f'<c t="inlineStr"><is><t>{h}</t></is></c>' for h in HEADER), *("".join(map(cell, HEADER, r)) for r in rows)]
-    sheet = f'<worksheet xmlns="{_MAIN}"><sheetData>{"".join(f"<row>{x}</row>" for x in lines)}</sheetData></worksheet>'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, part in (_PARTS | {"xl/worksheets/sheet1.xml": sheet}).items():
-            z.writestr(zipfile.ZipInfo(name), _HEAD + part)
-    return out.getvalue()
+    return packed("".join(f"<row>{''.join(map(cell, HEADER, r))}</row>" for r in rows))
+
+
+def row_element() -> Column:
+    """HEADER's columns as a row of a sheet, as ``workbook`` writes it."""
+
+    def cell(name: str) -> Column:
+        value = F.coalesce(F.col(f"`{name}`"), F.lit(""))
+        safe = F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit(">"), F.lit("&gt;")), F.lit("<"), F.lit("&lt;"))
+        told = F.when(value == "", "<c/>").otherwise(F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), safe, F.lit("</t></is></c>")))
+        return F.when(value.rlike(r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)\z"), F.concat(F.lit("<c><v>"), value, F.lit("</v></c>"))).otherwise(told) if name in _NUMBERS else told
+
+    return F.concat(F.lit("<row>"), *map(cell, HEADER), F.lit("</row>"))
 
 
 def workbooks(df: DataFrame, key: list[str], name: Column) -> DataFrame:
-    """key, file_name, content: one workbook file for each paper, its rows in sequence, as bytes for any sink. A paper's rows are few."""
+    """key, file_name, content: one workbook file for each paper, its rows in sequence, as bytes for any sink. A paper's rows are few.
+
+    Rows become text in the JVM and a paper's are drawn together there; Python only packs them, a batch of papers a call.
+    """
     check_header(df, key)
     schema = StructType([*(df.schema[k] for k in key), StructField("file_name", StringType()), StructField("content", BinaryType())])
+    rows = df.select(*key, "sequence_number", name.alias("_name"), row_element().alias("_row"))
+    papers = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("sequence_number", "_row", "_name"))).alias("_r"))
+    papers = papers.select(*key, F.get("_r", F.lit(0))["_name"].alias("file_name"), F.array_join(F.transform("_r", lambda r: r["_row"]), "").alias("_rows"))
 
-    def file(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sequence_number")
-        return pd.DataFrame([[*group[key].iloc[0], group["_name"].iloc[0], workbook(list(group[list(HEADER)].itertuples(index=False, name=None)))]], columns=schema.names)
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in (*key, "file_name")), pa.array(map(packed, b["_rows"].to_pylist()), pa.binary())], names=schema.names)
 
-    return df.withColumn("_name", name).groupBy(*key).applyInPandas(file, schema)
+    return papers.mapInArrow(files, schema)
 
 
 def exportable(df: DataFrame, papers: DataFrame, states: DataFrame, key: list[str]) -> DataFrame:

@@ -1,3 +1,6 @@
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,22 @@ def test_every_question_is_exported(spark, sf_dir):
     assert max(sizes.values()) > 4 and {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == sizes
     # the registered SQL without its cap
     assert check(got, ORACLES["export_rows"].replace(" where n <= 4)", ")"), sf_dir) == sum(sizes.values())
+
+
+def test_workbooks_are_packed_by_batch(spark):
+    rows = [(1, 2, "2", "a<b&>"), (1, 1, "1.5", " x\n"), (2, 1, "n/a", ""), (None, 1, "7", "z")]
+    df = spark.createDataFrame(rows, "k long, sequence_number int, number string, words string")
+    values = {"Question No": "number", "Section": "words", "Question Text": "words"}
+    t = df.select("k", "sequence_number", *(F.col(values[h]).alias(h) if h in values else F.lit("").alias(h) for h in export.HEADER))
+    out = export.workbooks(t, ["k"], F.concat(F.lit("f"), F.col("k")))
+    # no paper is a Python call of its own
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    blank = ("",) * (len(export.HEADER) - 5)
+    line = lambda n, w: (n, w, "", "", w, *blank)
+    want = {1: [line("1.5", " x\n"), line("2", "a<b&>")], 2: [line("n/a", "")], None: [line("7", "z")]}
+    assert {r.k: bytes(r.content) for r in out.collect()} == {k: export.workbook(v) for k, v in want.items()}
+    whole = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(export.workbook(want[1]))) as z, zipfile.ZipFile(whole, "w") as again:
+        for name in z.namelist():
+            again.writestr(zipfile.ZipInfo(name), z.read(name))
+    assert whole.getvalue() == export.workbook(want[1])
