@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -132,13 +128,8 @@ def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = item_questions(spark, sf_dir)
     schemes = q.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", marks.build_scheme(F.col("n"), F.lit(12), F.lit(None).cast("double")).alias("scheme"))
     t = export.table(q, ops.image_columns(ops.latest_images(event_images(spark, sf_dir), KEY), KEY), schemes, KEY)
-    files = export.workbooks(t, KEY, export.file_name(F.concat(F.lit("exam"), F.col("doc_id")), F.when(F.col("doc_id") % 20 == 0, F.lit("Paper 1"))))
-
-    @F.pandas_udf(IntegerType())
-    def rows(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: zipfile.ZipFile(io.BytesIO(c)).read("xl/worksheets/sheet1.xml").count(b"<row>") - 1)
-
-    return files.select("doc_id", "file_name", rows("content").alias("n_rows"))
+    name = export.file_name(F.concat(F.lit("exam"), F.col("doc_id")), F.when(F.col("doc_id") % 20 == 0, F.lit("Paper 1")))
+    return export.workbooks(t, KEY, name, ("n_rows", IntegerType(), lambda content: export.sheet(content).count(b"<row>") - 1))
 
 
 def exported_papers(spark: SparkSession, sf_dir: str) -> DataFrame:

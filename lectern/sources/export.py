@@ -6,13 +6,17 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
 from ..functions.text import strip, xml_clean
 
@@ -40,16 +44,19 @@ def number_text(value: Column) -> Column:
 def table(questions: DataFrame, images: DataFrame, schemes: DataFrame, key: list[str]) -> DataFrame:
     """key, sequence_number and HEADER's columns. images: ``review.image_columns``; schemes: key and ``scheme``.
 
-    An unknown question type is the default, an unknown level blank; negative marks are never blank.
+    An unknown question type is the default, an unknown level blank; negative marks are never blank. A paper's images go with
+    its questions in one row, so questions that lie by ``key`` stay where they are.
     """
-    q = questions.join(images, [*key, "number"], "left").join(schemes, key, "left")
+    placed = images.groupBy(*key).agg(F.collect_list(F.struct("number", *(c for c in images.columns if c not in {*key, "number"}))).alias("_images"))
+    q = questions.join(placed, key, "left").join(schemes, key, "left")
+    q = q.withColumn("_image", F.get(F.filter("_images", lambda i: i["number"] == F.col("number")), F.lit(0)))
     has = lambda c: F.col(c) if c in questions.columns else F.lit(None).cast("string")
     kind, level = has("excel_question_type"), has("difficulty_level")
     text = lambda c: xml_clean(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")))
     values = [
         F.coalesce(F.col("number").cast("string"), F.lit("")), text("section"), F.when(kind.isin(*TYPES), kind).otherwise(TYPES[0]), F.when(level.isin(*LEVELS), level).otherwise(""), text(question_text()),
         number_text(F.col("scheme.marks_per_question")), number_text(F.coalesce("scheme.negative_marks", F.lit(0.0))),
-        *(text(c) for x in "ABCD" for c in (f"options.{x}", f"option_{x.lower()}")), text("correct_answer"), text("question"), text("explanation"), F.lit(""),
+        *(text(c) for x in "ABCD" for c in (f"options.{x}", f"_image.option_{x.lower()}")), text("correct_answer"), text("_image.question"), text("explanation"), F.lit(""),
     ]
     return q.select(*key, "sequence_number", *(v.alias(h) for v, h in zip(values, HEADER, strict=True)))
 
@@ -78,6 +85,7 @@ _PARTS = {
     "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name="{SHEET}" sheetId="1" r:id="r1"/></sheets></workbook>',
     "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_REL}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
 }
+_SHEET = b"xl/worksheets/sheet1.xml"
 _NUMBERS = {"Question No", "Marks", "Negative Marks"}
 
 
@@ -85,7 +93,7 @@ def _template() -> tuple[bytes, ...]:
     """An empty workbook's bytes around what a sheet changes: its checksum and sizes, twice, itself, and the directory's place."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        for name, part in (_PARTS | {"xl/worksheets/sheet1.xml": ""}).items():
+        for name, part in (_PARTS | {_SHEET.decode(): ""}).items():
             z.writestr(zipfile.ZipInfo(name), part and _HEAD + part)
         sheet, directory = z.infolist()[-1].header_offset, z.start_dir
     raw = out.getvalue()
@@ -94,19 +102,41 @@ def _template() -> tuple[bytes, ...]:
 
 
 _TEMPLATE = _template()
-_TOP = f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData><row>{"".join(f'<c t="inlineStr"><is><t>{h}</t></is></c>' for h in HEADER)}</row>'
-_BOTTOM = "</sheetData></worksheet>"
+_TOP = f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData><row>{"".join(f'<c t="inlineStr"><is><t>{h}</t></is></c>' for h in HEADER)}</row>'.encode()
+_BOTTOM = b"</sheetData></worksheet>"
 
 
-def packed(rows: str) -> bytes:
+def packed(rows: bytes) -> bytes:
     """A workbook of HEADER and ``rows``, the sheet's row elements. Only the sheet differs from file to file, so the rest is made once."""
-    sheet = f"{_TOP}{rows}{_BOTTOM}".encode()
+    sheet = b"".join((_TOP, rows, _BOTTOM))
     stamp = struct.pack("<LLL", zlib.crc32(sheet), len(sheet), len(sheet))
     start, named, between, behind, end = _TEMPLATE
     before = b"".join((start, stamp, named, sheet))
     return b"".join((before, between, stamp, behind, struct.pack("<L", len(before)), end))
 
 
+def sheet(content: bytes) -> bytes:
+    """The sheet of a workbook whose parts aren't compressed, found by the file's directory and held against its checksum.
+
+    What ``zipfile`` reads, without an object for every part: a table has many small files.
+    """
+    end = content.rindex(b"PK\x05\x06")
+    (parts,), (at,) = struct.unpack_from("<H", content, end + 10), struct.unpack_from("<L", content, end + 16)
+    for _ in range(parts):
+        mark, method, crc, size, whole, *lengths, place = struct.unpack_from("<4s6xH4xLLLHHH8xL", content, at)
+        if mark != b"PK\x01\x02":
+            raise zipfile.BadZipFile("no directory")
+        if content[at + 46 : at + 46 + lengths[0]] == _SHEET:
+            named, more = struct.unpack_from("<HH", content, place + 26)
+            begin = place + 30 + named + more
+            found = content[begin : begin + size]
+            if method or size != whole or content[place : place + 4] != b"PK\x03\x04" or content[place + 30 : place + 30 + named] != _SHEET or zlib.crc32(found) != crc:
+                raise zipfile.BadZipFile("the sheet isn't as the directory says")
+            return found
+        at += 46 + sum(lengths)
+    raise KeyError(_SHEET)
+
+
 def workbook(rows: list[tuple]) -> bytes:
     """A workbook of HEADER and ``rows``. Texts are inline strings, never formulas; numbers are numbers; blanks have no cell."""
 
@@ -115,37 +145,68 @@ def workbook(rows: list[tuple]) -> bytes:
             return f"<c><v>{value}</v></c>"
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>' if value else "<c/>"
 
-    return packed("".join(f"<row>{''.join(map(cell, HEADER, r))}</row>" for r in rows))
+    return packed("".join(f"<row>{''.join(map(cell, HEADER, r))}</row>" for r in rows).encode())
 
 
-def row_element() -> Column:
-    """HEADER's columns as a row of a sheet, as ``workbook`` writes it."""
+def row_elements(columns: list[pa.Array]) -> pa.Array:
+    """HEADER's columns as rows of a sheet, as ``workbook`` writes them: a batch's cells at once, each value of a column once."""
 
-    def cell(name: str) -> Column:
-        value = F.coalesce(F.col(f"`{name}`"), F.lit(""))
-        safe = F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit(">"), F.lit("&gt;")), F.lit("<"), F.lit("&lt;"))
-        told = F.when(value == "", "<c/>").otherwise(F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), safe, F.lit("</t></is></c>")))
-        return F.when(value.rlike(r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)\z"), F.concat(F.lit("<c><v>"), value, F.lit("</v></c>"))).otherwise(told) if name in _NUMBERS else told
+    def cell(name: str, column: pa.Array) -> pa.Array:
+        told = pc.fill_null(column, "").dictionary_encode()
+        value = safe = told.dictionary
+        for sign, entity in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;")):
+            safe = pc.replace_substring(safe, sign, entity)
+        out = pc.binary_join_element_wise('<c t="inlineStr"><is><t xml:space="preserve">', safe, "</t></is></c>", "")
+        if name in _NUMBERS:
+            out = pc.if_else(pc.match_substring_regex(value, r"\A(?:[0-9]+\.?[0-9]*|\.[0-9]+)\z"), pc.binary_join_element_wise("<c><v>", value, "</v></c>", ""), out)
+        return pc.if_else(pc.equal(value, ""), "<c/>", out).take(told.indices)
 
-    return F.concat(F.lit("<row>"), *map(cell, HEADER), F.lit("</row>"))
+    return pc.binary_join_element_wise("<row>", *map(cell, HEADER, columns), "</row>", "")
 
 
-def workbooks(df: DataFrame, key: list[str], name: Column) -> DataFrame:
-    """key, file_name, content: one workbook file for each paper, its rows in sequence, as bytes for any sink. A paper's rows are few.
+#: What becomes of a file: the column's name, its type and what makes it from the bytes. By default, it is the bytes.
+CONTENT = ("content", BinaryType(), bytes)
 
-    Rows become text in the JVM and a paper's are drawn together there; Python only packs them, a batch of papers a call.
+
+def workbooks(df: DataFrame, key: list[str], name: Column, sink: tuple[str, DataType, Callable[[bytes], object]] = CONTENT) -> DataFrame:
+    """key, file_name and ``sink``'s column: one workbook file for each paper, its rows in sequence. A paper's rows are few.
+
+    A sink takes a file where it was made, so bytes that only it needs go nowhere else. Rows are brought together by paper as
+    the table's columns, and none is moved that lies by ``key``; they become sheet text in the tasks that pack them, a batch at a
+    time, so no text of sheets is shuffled or sorted.
     """
     check_header(df, key)
-    schema = StructType([*(df.schema[k] for k in key), StructField("file_name", StringType()), StructField("content", BinaryType())])
-    rows = df.select(*key, "sequence_number", name.alias("_name"), row_element().alias("_row"))
-    papers = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("sequence_number", "_row", "_name"))).alias("_r"))
-    papers = papers.select(*key, F.get("_r", F.lit(0))["_name"].alias("file_name"), F.array_join(F.transform("_r", lambda r: r["_row"]), "").alias("_rows"))
+    made, kind, make = sink
+    schema = StructType([*(df.schema[k] for k in key), StructField("file_name", StringType()), StructField(made, kind)])
+    values = [f"`{h}`" for h in HEADER]
+    rows = df.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("sequence_number", *values)))
+    rows = rows.select(*key, name.alias("file_name"), "_at", *values)
+    heads, arrow = len(key) + 1, to_arrow_type(kind)
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in (*key, "file_name")), pa.array(map(packed, b["_rows"].to_pylist()), pa.binary())], names=schema.names)
-
-    return papers.mapInArrow(files, schema)
+        head, open_rows = None, []  # the paper whose end hasn't been seen
+
+        def out(head: list[pa.Array], contents: Iterable[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*head, pa.array(map(make, contents), arrow)], names=schema.names)
+
+        for b in filter(len, batches):
+            text = row_elements(b.columns[heads + 1 :])
+            at, data = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4).tolist(), memoryview(text.buffers()[2])
+            firsts = np.flatnonzero(b.column(heads).to_numpy() == 1).tolist()
+            open_rows.append(bytes(data[at[0] : at[firsts[0] if firsts else -1]]))
+            if not firsts:
+                continue
+            if head is not None:
+                yield out(head, [packed(b"".join(open_rows))])
+            taken = pa.array(firsts[:-1], pa.int64())
+            if len(taken):
+                yield out([c.take(taken) for c in b.columns[:heads]], (packed(data[at[i] : at[j]]) for i, j in pairwise(firsts)))
+            # copied, as a slice keeps its whole batch
+            head, open_rows = [c.take(pa.array(firsts[-1:], pa.int64())) for c in b.columns[:heads]], [bytes(data[at[firsts[-1]] : at[-1]])]
+        if head is not None:
+            yield out(head, [packed(b"".join(open_rows))])
+
+    return rows.mapInArrow(files, schema)
 
 
 def exportable(df: DataFrame, papers: DataFrame, states: DataFrame, key: list[str]) -> DataFrame:

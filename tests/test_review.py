@@ -3,6 +3,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from lectern.functions import marks
 from lectern.operators import review, validation
@@ -146,3 +147,53 @@ def test_workbooks_are_packed_by_batch(spark):
         for name in z.namelist():
             again.writestr(zipfile.ZipInfo(name), z.read(name))
     assert whole.getvalue() == export.workbook(want[1])
+
+
+def test_workbooks_move_no_joined_rows(spark, sf_dir):
+    from lectern.plans.review import workbook_files
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = workbook_files(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    assert sum("Join" in x for x in plan) == 2
+    for i, line in enumerate(plan):
+        if "Exchange" in line:
+            below = next((k for k in range(i + 1, len(plan)) if depth[k] <= depth[i]), len(plan))
+            # questions are shuffled once, as they are read; neither joined rows nor sheet text are
+            assert not any("Join" in x or "stem " in x or "<row>" in x for x in plan[i + 1 : below])
+
+
+def test_papers_go_on_over_batches(spark):
+    rows = [(k, n, str(n), f"p{k}&{n}") for k in range(5) for n in range(1 + 3 * (k % 3))] + [(None, n, "", "z<") for n in (1, 2, 3)]
+    values = {"Question No": "number", "Section": "words"}
+    df = spark.createDataFrame(rows, "k long, n int, number string, words string").repartition(3)
+    t = df.select("k", F.col("n").alias("sequence_number"), *(F.col(values[h]).alias(h) if h in values else F.lit(None).cast("string").alias(h) for h in export.HEADER))
+    want = {}
+    for k, _, number, words in rows:
+        want.setdefault(k, []).append((number, words, *[""] * (len(export.HEADER) - 2)))
+    for size in ("1", "2", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = export.workbooks(t, ["k"], F.lit("f")).collect()
+            sizes = export.workbooks(t, ["k"], F.lit("f"), ("size", IntegerType(), len)).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(want) and {r.k: bytes(r.content) for r in got} == {k: export.workbook(v) for k, v in want.items()}
+        assert {r.k: r.size for r in sizes} == {r.k: len(r.content) for r in got}
+
+
+def test_sheet_is_read_as_by_zipfile():
+    for n in (0, 1, 70):
+        content = export.workbook([("1", "PK\x05\x06 xl/worksheets/sheet1.xml", *["é"] * 17)] * n)
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            assert export.sheet(content) == z.read("xl/worksheets/sheet1.xml") and export.sheet(content).count(b"<row>") == n + 1
+    with pytest.raises(zipfile.BadZipFile):
+        export.sheet(content.replace("é".encode(), "è".encode(), 1))
+    other = io.BytesIO()
+    with zipfile.ZipFile(other, "w") as z:
+        z.writestr("a", "b")
+    with pytest.raises(KeyError):
+        export.sheet(other.getvalue())
