@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
-from ..functions.text import strip, xml_clean
+from ..functions.text import XML_UNFIT, strip, xml_clean
 
 # The columns of the export, question types (the first is the default) and levels.
 HEADER = (
@@ -52,13 +52,16 @@ def table(questions: DataFrame, images: DataFrame, schemes: DataFrame, key: list
     q = q.withColumn("_image", F.get(F.filter("_images", lambda i: i["number"] == F.col("number")), F.lit(0)))
     has = lambda c: F.col(c) if c in questions.columns else F.lit(None).cast("string")
     kind, level = has("excel_question_type"), has("difficulty_level")
-    text = lambda c: xml_clean(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")))
-    values = [
-        F.coalesce(F.col("number").cast("string"), F.lit("")), text("section"), F.when(kind.isin(*TYPES), kind).otherwise(TYPES[0]), F.when(level.isin(*LEVELS), level).otherwise(""), text(question_text()),
-        number_text(F.col("scheme.marks_per_question")), number_text(F.coalesce("scheme.negative_marks", F.lit(0.0))),
-        *(text(c) for x in "ABCD" for c in (f"options.{x}", f"_image.option_{x.lower()}")), text("correct_answer"), text("_image.question"), text("explanation"), F.lit(""),
-    ]
-    return q.select(*key, "sequence_number", *(v.alias(h) for v, h in zip(values, HEADER, strict=True)))
+    texts = {"Section": F.col("section"), "Question Text": question_text(), "Correct Answer": F.col("correct_answer"), "Question Image URL": F.col("_image.question"), "Question Explanation": F.col("explanation")}
+    texts |= {f"Option {t}{x}": F.col(c) for x in "ABCD" for t, c in (("", f"options.{x}"), ("Image URL ", f"_image.option_{x.lower()}"))}
+    told = q.withColumns({f"_{h}": F.coalesce(c, F.lit("")) for h, c in texts.items()})
+    # a row's texts are searched together, once; few have anything to clean
+    told = told.withColumn("_unfit", F.concat(*(f"`_{h}`" for h in texts)).rlike(XML_UNFIT))
+    values = {h: F.when(F.col("_unfit"), xml_clean(F.col(f"_{h}"))).otherwise(F.col(f"_{h}")) for h in texts} | {
+        "Question No": F.coalesce(F.col("number").cast("string"), F.lit("")), "Question Type": F.when(kind.isin(*TYPES), kind).otherwise(TYPES[0]), "Difficulty Level": F.when(level.isin(*LEVELS), level).otherwise(""),
+        "Marks": number_text(F.col("scheme.marks_per_question")), "Negative Marks": number_text(F.coalesce("scheme.negative_marks", F.lit(0.0))), "Question Explanation Image": F.lit(""),
+    }
+    return told.select(*key, "sequence_number", *(values[h].alias(h) for h in HEADER))
 
 
 def check_header(df: DataFrame, key: list[str]) -> None:
@@ -86,6 +89,8 @@ _PARTS = {
     "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_REL}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
 }
 _SHEET = b"xl/worksheets/sheet1.xml"
+# Of a directory's entry: its mark, method, checksum, sizes, name's length and place; of a part: its mark, its name's and extra field's length.
+_LONG, _ENTRY, _PART = struct.Struct("<L"), struct.Struct("<4s6xH4xLLLH12xL"), struct.Struct("<4s22xHH")
 _NUMBERS = {"Question No", "Marks", "Negative Marks"}
 
 
@@ -120,21 +125,17 @@ def sheet(content: bytes) -> bytes:
 
     What ``zipfile`` reads, without an object for every part: a table has many small files.
     """
-    end = content.rindex(b"PK\x05\x06")
-    (parts,), (at,) = struct.unpack_from("<H", content, end + 10), struct.unpack_from("<L", content, end + 16)
-    for _ in range(parts):
-        mark, method, crc, size, whole, *lengths, place = struct.unpack_from("<4s6xH4xLLLHHH8xL", content, at)
-        if mark != b"PK\x01\x02":
-            raise zipfile.BadZipFile("no directory")
-        if content[at + 46 : at + 46 + lengths[0]] == _SHEET:
-            named, more = struct.unpack_from("<HH", content, place + 26)
-            begin = place + 30 + named + more
-            found = content[begin : begin + size]
-            if method or size != whole or content[place : place + 4] != b"PK\x03\x04" or content[place + 30 : place + 30 + named] != _SHEET or zlib.crc32(found) != crc:
-                raise zipfile.BadZipFile("the sheet isn't as the directory says")
-            return found
-        at += 46 + sum(lengths)
-    raise KeyError(_SHEET)
+    (directory,) = _LONG.unpack_from(content, content.rindex(b"PK\x05\x06") + 16)
+    at = content.rfind(_SHEET, directory)
+    if at < directory + 46:
+        raise KeyError(_SHEET)
+    mark, method, crc, size, whole, length, place = _ENTRY.unpack_from(content, at - 46)
+    here, named, more = _PART.unpack_from(content, place)
+    begin = place + 30 + named + more
+    found = content[begin : begin + size]
+    if (mark, here) != (b"PK\x01\x02", b"PK\x03\x04") or method or size != whole or length != named or content[place + 30 : place + 30 + named] != _SHEET or zlib.crc32(found) != crc:
+        raise zipfile.BadZipFile("the sheet isn't as the directory says")
+    return found
 
 
 def workbook(rows: list[tuple]) -> bytes:
@@ -154,8 +155,9 @@ def row_elements(columns: list[pa.Array]) -> pa.Array:
     def cell(name: str, column: pa.Array) -> pa.Array:
         told = pc.fill_null(column, "").dictionary_encode()
         value = safe = told.dictionary
-        for sign, entity in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;")):
-            safe = pc.replace_substring(safe, sign, entity)
+        if pc.any(pc.match_substring_regex(value, "[&<>]")).as_py():
+            for sign, entity in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;")):
+                safe = pc.replace_substring(safe, sign, entity)
         out = pc.binary_join_element_wise('<c t="inlineStr"><is><t xml:space="preserve">', safe, "</t></is></c>", "")
         if name in _NUMBERS:
             out = pc.if_else(pc.match_substring_regex(value, r"\A(?:[0-9]+\.?[0-9]*|\.[0-9]+)\z"), pc.binary_join_element_wise("<c><v>", value, "</v></c>", ""), out)

@@ -197,3 +197,12 @@ def test_sheet_is_read_as_by_zipfile():
         z.writestr("a", "b")
     with pytest.raises(KeyError):
         export.sheet(other.getvalue())
+
+
+def test_only_unfit_texts_change(spark):
+    q = spark.createDataFrame([(1, 1, 1, "a\x00b\x1f", None), (1, 2, 2, "\x7f\tc", "d\x0b"), (1, 3, None, "é", " e ")], "doc_id int, sequence_number int, number int, stem string, section string")
+    q = q.withColumns({c: F.lit("") for c in ("passage", "correct_answer", "explanation")} | {"is_image": F.lit(False), "options": F.struct(*(F.lit(x).alias(x) for x in "ABCD"))})
+    images = spark.createDataFrame([(1, n, "option_b", n, "uploaded", f"u{n}\x01") for n in (2, 3)], "doc_id int, number int, destination string, image_seq int, status string, image_url string")
+    schemes = spark.createDataFrame([(2,)], "doc_id int").select("doc_id", marks.build_scheme(F.lit(2), F.lit(3), F.lit(None).cast("double")).alias("scheme"))
+    t = export.table(q, review.image_columns(images, KEY), schemes, KEY).orderBy("sequence_number").collect()
+    assert [(r["Question Text"], r["Section"], r["Option B"], r["Option Image URL B"], r["Question No"]) for r in t] == [("ab", "", "B", "", "1"), ("\tc", "d", "B", "u2", "2"), ("é", " e ", "B", "", "")]
